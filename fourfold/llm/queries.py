@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
+from . import mixing as _mixing
+from . import sharding as _sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,5 +49,64 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN n USING (rid) LEFT JOIN i USING (rid)
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate}
-ORACLES = {"op2_decontaminate": OP2_SQL}
+
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = """
+WITH z AS (
+  SELECT row_number() OVER () AS rid, doc_id, source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM s0),
+s2 AS (SELECT *, [5, 2, 1][(sid - 1) % 3 + 1] AS weight FROM s1),
+s3 AS (SELECT *, CAST(3 * source_size AS DOUBLE) / weight AS ratio, (SELECT sum(source_size) FROM s0) AS everything FROM s2),
+s4 AS (SELECT *, CAST(everything - coalesce(sum(3 * source_size) OVER (ORDER BY ratio, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+              / CAST(sum(weight) OVER (ORDER BY ratio, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM s3),
+lv AS (SELECT level FROM s4 WHERE level <= ratio ORDER BY ratio, sid LIMIT 1),
+src AS (SELECT sid, source, source_size, least(weight * (SELECT level FROM lv), CAST(3 * source_size AS DOUBLE)) AS target, everything FROM s4),
+bl AS (SELECT greatest(1, CAST(ceil(max(everything) / 67108864.0) AS BIGINT),
+              least(1024, CAST(floor(coalesce(min(target) FILTER (target > 0), 1) / 256) AS BIGINT))) AS block, max(everything) AS everything FROM src),
+st AS (SELECT sid, CAST(sum(CAST(round(target) AS BIGINT)) OVER (ORDER BY sid) AS BIGINT) AS hi, CAST(round(target) AS BIGINT) AS share FROM src),
+tot AS (SELECT sum(share) AS total FROM st),
+pt AS (SELECT t, (t + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE AS v FROM (SELECT unnest(range(CAST(greatest(1, round_even(everything / CAST(block AS DOUBLE), 0)) AS BIGINT))) AS t FROM bl)),
+au AS (SELECT t, least(floor((v - floor(v)) * CAST(total AS DOUBLE)), total - 1) AS a FROM pt, tot),
+sl AS (SELECT t, sid FROM au JOIN st ON a >= st.hi - st.share AND a < st.hi),
+rk AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY t) - 1 AS rank FROM sl),
+nb AS (SELECT sid, CAST(ceil(source_size / CAST(block AS DOUBLE)) AS BIGINT) AS blocks FROM src, bl WHERE source_size > 0),
+tn AS (SELECT sid, rank % blocks AS block, count(*) AS times FROM rk JOIN nb USING (sid) WHERE rank < 3 * blocks GROUP BY ALL),
+ld AS (SELECT z.*, sid, source_size, target, sum(size) OVER (PARTITION BY sid ORDER BY h, doc_id, size, rid ROWS UNBOUNDED PRECEDING) AS e
+       FROM z JOIN src ON z.source IS NOT DISTINCT FROM src.source),
+pc AS (SELECT rid, sid, e - size AS s, e, unnest(range(CAST(floor((e - size) / CAST(bl.block AS DOUBLE)) AS BIGINT), CAST(floor((e - 1) / CAST(bl.block AS DOUBLE)) AS BIGINT) + 1)) AS block, bl.block AS b
+       FROM ld, bl WHERE size > 0),
+tk AS (SELECT rid, sum((least(e, (pc.block + 1) * b) - greatest(s, pc.block * b)) * times) AS taken FROM pc JOIN tn USING (sid, block) GROUP BY rid)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM ld LEFT JOIN tk USING (rid)
+"""
+
+
+def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sharding.assign_shards(_read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+OP6_SQL = """
+WITH RECURSIVE p AS (
+  SELECT s, CAST('0x' || substr(md5('shard-' || s || '/offset'), 1, 15) AS BIGINT) % 4093 AS o,
+         CAST('0x' || substr(md5('shard-' || s || '/skip'), 1, 15) AS BIGINT) % 4092 + 1 AS k
+  FROM range(32) r(s)),
+pl AS (SELECT list(o ORDER BY s) AS os, list(k ORDER BY s) AS ks FROM p),
+fill AS (
+  SELECT 0 AS t, list_transform(range(4093), lambda x: CAST(-1 AS INTEGER)) AS owner
+  UNION ALL
+  SELECT t + 1, owner[1:c] || [CAST(t % 32 AS INTEGER)] || owner[c + 2:]
+  FROM (SELECT t, owner, (os[t % 32 + 1] + ks[t % 32 + 1] * list_filter(range(4093), lambda j: owner[(os[t % 32 + 1] + ks[t % 32 + 1] * j) % 4093 + 1] < 0)[1]) % 4093 AS c
+        FROM fill, pl WHERE t < 4093)),
+done AS (SELECT owner FROM fill WHERE t = 4093),
+d AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) % 4093 AS INTEGER) AS slot FROM documents)
+SELECT doc_id, slot, owner[slot + 1] AS shard FROM d, done
+"""
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_mix": op4_mix, "op6_shard": op6_shard}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op4_mix": OP4_SQL, "op6_shard": OP6_SQL}
