@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
 from . import mixing as _mixing
+from . import neardedup as _neardedup
 from . import sharding as _sharding
 
 
@@ -108,5 +109,11 @@ d AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHA
 SELECT doc_id, slot, owner[slot + 1] AS shard FROM d, done
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_mix": op4_mix, "op6_shard": op6_shard}
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _neardedup.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "group_id", (F.col("doc_id").eqNullSafe(F.col("group_id"))).alias("representative"))
+
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_mix": op4_mix, "op6_shard": op6_shard, "op7_near_dedup": op7_near_dedup}
 ORACLES = {"op2_decontaminate": OP2_SQL, "op4_mix": OP4_SQL, "op6_shard": OP6_SQL}
