@@ -9,6 +9,7 @@ from . import decontaminate as _decontaminate
 from . import mixing as _mixing
 from . import neardedup as _neardedup
 from . import sharding as _sharding
+from . import substrings as _substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,5 +116,22 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "group_id", (F.col("doc_id").eqNullSafe(F.col("group_id"))).alias("representative"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_mix": op4_mix, "op6_shard": op6_shard, "op7_near_dedup": op7_near_dedup}
-ORACLES = {"op2_decontaminate": OP2_SQL, "op4_mix": OP4_SQL, "op6_shard": OP6_SQL}
+
+def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _substrings.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50),
+g AS (SELECT rid, doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS g FROM p),
+f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+c AS (SELECT DISTINCT rid, unnest(range(p, p + 50)) AS q FROM g JOIN f USING (g) WHERE doc_id > first),
+r AS (SELECT rid, list(q) AS qs FROM c GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(qs), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN qs IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(qs, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN r USING (rid)
+"""
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_mix": op4_mix, "op6_shard": op6_shard, "op7_near_dedup": op7_near_dedup, "op9_remove_repeats": op9_remove_repeats}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op4_mix": OP4_SQL, "op6_shard": OP6_SQL, "op9_remove_repeats": OP9_SQL}
