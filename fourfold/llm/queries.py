@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
+from . import fingerprint as _fingerprint
 from . import mixing as _mixing
 from . import neardedup as _neardedup
 from . import sharding as _sharding
@@ -89,6 +90,10 @@ SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS
 """
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fingerprint.fingerprint_chain(_read(spark, sf_dir, "documents"))
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sharding.assign_shards(_read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
@@ -133,5 +138,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(qs), 0) AS B
 FROM d LEFT JOIN r USING (rid)
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_mix": op4_mix, "op6_shard": op6_shard, "op7_near_dedup": op7_near_dedup, "op9_remove_repeats": op9_remove_repeats}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_mix": op4_mix, "op5_fingerprint": op5_fingerprint, "op6_shard": op6_shard, "op7_near_dedup": op7_near_dedup, "op9_remove_repeats": op9_remove_repeats}
 ORACLES = {"op2_decontaminate": OP2_SQL, "op4_mix": OP4_SQL, "op6_shard": OP6_SQL, "op9_remove_repeats": OP9_SQL}
