@@ -11,6 +11,7 @@ from . import mixing as _mixing
 from . import neardedup as _neardedup
 from . import sharding as _sharding
 from . import substrings as _substrings
+from . import warc as _warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,6 +123,20 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _warc.round_trip(spark, _read(spark, sf_dir, "pages"))
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN f.top IS NOT NULL AND page_id IS DISTINCT FROM f.top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.top IS NOT NULL AND page_id IS DISTINCT FROM f.top THEN f.top END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d AND n >= 1000
+"""
+
+
 def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substrings.remove_repeats(_read(spark, sf_dir, "documents"))
 
@@ -138,5 +153,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(qs), 0) AS B
 FROM d LEFT JOIN r USING (rid)
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_mix": op4_mix, "op5_fingerprint": op5_fingerprint, "op6_shard": op6_shard, "op7_near_dedup": op7_near_dedup, "op9_remove_repeats": op9_remove_repeats}
-ORACLES = {"op2_decontaminate": OP2_SQL, "op4_mix": OP4_SQL, "op6_shard": OP6_SQL, "op9_remove_repeats": OP9_SQL}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_mix": op4_mix, "op5_fingerprint": op5_fingerprint, "op6_shard": op6_shard, "op7_near_dedup": op7_near_dedup, "op8_warc": op8_warc, "op9_remove_repeats": op9_remove_repeats}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op4_mix": OP4_SQL, "op6_shard": OP6_SQL, "op8_warc": OP8_SQL, "op9_remove_repeats": OP9_SQL}
