@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
 from . import fingerprint as _fingerprint
+from . import htmltext as _htmltext
 from . import mixing as _mixing
 from . import neardedup as _neardedup
 from . import sharding as _sharding
@@ -54,6 +55,10 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN i USING (rid)
 """
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _htmltext.extract(_read(spark, sf_dir, "pages"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -153,5 +158,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(qs), 0) AS B
 FROM d LEFT JOIN r USING (rid)
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_mix": op4_mix, "op5_fingerprint": op5_fingerprint, "op6_shard": op6_shard, "op7_near_dedup": op7_near_dedup, "op8_warc": op8_warc, "op9_remove_repeats": op9_remove_repeats}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_main_text": op3_main_text, "op4_mix": op4_mix, "op5_fingerprint": op5_fingerprint, "op6_shard": op6_shard, "op7_near_dedup": op7_near_dedup, "op8_warc": op8_warc, "op9_remove_repeats": op9_remove_repeats}
 ORACLES = {"op2_decontaminate": OP2_SQL, "op4_mix": OP4_SQL, "op6_shard": OP6_SQL, "op8_warc": OP8_SQL, "op9_remove_repeats": OP9_SQL}
