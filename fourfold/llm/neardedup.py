@@ -10,9 +10,11 @@ Bands of registers propose pairs, and the words of both texts decide: exact mult
 With 24 bands of 4 registers a pair at 0.8 is missed with probability (1 - 0.8^4)^24 = 3e-6.
 
 Scale: equal texts are one node (MD5), so copies cost a narrow aggregation. A bucket is not expanded into pairs: its members
-are compared with one pivot, and only members that then still lie in different components are compared further, those outside
-the bucket's commonest component against the rest, so that no link is lost that would join two groups. Texts are read again only for
-candidates. What is broadcast is counted first.
+are compared with one pivot, the member that shares the most buckets with others, which in a family of copies is mostly what they were
+copied from. Only buckets whose members then still lie in different components are looked at again, those outside
+the bucket's commonest component against the rest, so that no link is lost that would join two groups: in buckets of up to
+``SMALL_BUCKET`` members pair by pair, in larger ones through an index of the shingles of a bounded block of members,
+past which blocks are compared with blocks. Texts are read again only for candidates. What is broadcast is counted first.
 
 Defined results: a null text is alone in its group; equal texts always share one; a text of 1 to 4 words is one shingle; a text without
 words is linked to equal texts only; repeated rows each get a row. The group id is the least doc_id of the group (null only if all are).
@@ -34,6 +36,8 @@ from .kernels import U64, Words, gram_hashes, mix64, slices, text_buffer, within
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
 #: Rows (of up to 50 bytes) that may be broadcast.
 BROADCAST_ROWS = 400_000
+#: Members up to which a bucket of several components is settled pair by pair; shingles of a block in a larger one.
+SMALL_BUCKET, BLOCK_SHINGLES = 64, 2_000_000
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +167,59 @@ def verifier(size: int, threshold: float):
     return run
 
 
+def cross_links(texts: pa.Array, labels: np.ndarray, minor: np.ndarray, size: int, threshold: float) -> Iterator[tuple[int, int]]:
+    """For each row marked minor, one similar row of every other label that has one: exact, by the shingles' postings."""
+    data, offsets = text_buffer(texts)
+    n, parts = len(labels), []
+    for lo, hi in slices(offsets):
+        r, h, c = multiset(*shingles(Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], True), size))
+        parts.append((r + lo, h, c))
+    row, hashes, count = (np.concatenate(x) for x in zip(*parts))
+    total = np.bincount(row, count, n)
+    begin = np.searchsorted(row, np.arange(n + 1))
+    order = np.argsort(hashes, kind="stable")
+    by, new = row[order], np.flatnonzero(np.concatenate([[True], np.diff(hashes[order].view(np.int64)) != 0]))
+    which = np.empty(len(row), np.int64)  # the posting list of each entry
+    which[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(row))))
+    end, often = np.append(new[1:], len(row)), count[order]
+    for x in np.flatnonzero(minor):
+        lists, mine = which[begin[x] : begin[x + 1]], count[begin[x] : begin[x + 1]]
+        sizes = end[lists] - new[lists]
+        at = np.repeat(new[lists] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        shared = np.bincount(by[at], np.minimum(np.repeat(mine, sizes), often[at]), n)
+        near = np.flatnonzero((shared >= (threshold - 1e-12) * (total[x] + total - shared)) & (labels != labels[x]) & (shared > 0))
+        for y in near[np.unique(labels[near], return_index=True)[1]]:
+            yield x, int(y)
+
+
+def cross_kernel(size: int, threshold: float):
+    """Rows (task, node, label, minor, text) sorted by task to similar pairs (a, b) of different labels. A task's rows are held together."""
+
+    def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        nodes = t.column(1).to_pylist()
+        labels = np.unique(np.array(t.column(2).to_pylist(), object), return_inverse=True)[1]
+        pairs = list(cross_links(t.column(4), labels, np.array(t.column(3).to_pylist()), size, threshold))
+        return pa.RecordBatch.from_arrays([pa.array([nodes[p[i]] for p in pairs], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, task = [], None
+        for batch in batches:
+            tasks = batch.column(0).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(tasks)) + 1).tolist(), len(tasks)]
+            for lo, hi in zip(edges, edges[1:]):
+                if hi > lo:
+                    if held and tasks[lo] != task:
+                        yield settle(held)
+                        held = []
+                    task = tasks[lo]
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield settle(held)
+
+    return run
+
+
 def _counted(df: DataFrame) -> DataFrame:
     """A kept table, marked for broadcast where it is small."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -174,32 +231,48 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     signed = ids.where("node IS NOT NULL").select("node", "text").mapInArrow(signer(size, bands, rows), "node binary, n long, keys array<long>")
     signed = cut(signed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")))
     members = signed.select("node", "n", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("p")).where("c > 1").select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    buckets = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     shared = cut(members.join(buckets, "key"))  # only buckets of two and more
+    central = shared.groupBy("node").agg(F.sum("c").alias("met"))
+    pivots = shared.join(central, "node").groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
     near_size = lambda x, y: (F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9)
 
-    def pairs_verified(pairs: DataFrame) -> DataFrame:
-        wanted = cut(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
-        texts = cut(ids.join(_counted(wanted), "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")))
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        wanted = cut(nodes.distinct())
+        return cut(ids.join(_counted(wanted), "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         two = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return two.select("a", "b", "ta", "tb").mapInArrow(verifier(size, threshold), "a binary, b binary")
+        return cut(two.select("a", "b", "ta", "tb").mapInArrow(verifier(size, threshold), "a binary, b binary"))
 
-    tried = cut(shared.where((F.col("node") != F.col("pivot")) & near_size(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    edges = cut(pairs_verified(tried))
+    tried = shared.join(pivots, "key").where((F.col("node") != F.col("pivot")) & near_size(F.col("n"), F.col("pivot_n")))
+    tried = cut(tried.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
+    edges = verified(tried)
     labels = components(edges)
 
-    placed = shared.select("key", "node", "n").join(_counted(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = placed.groupBy("key", "label").count().groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("count", "label"))["label"].alias("main")).where("kinds > 1").select("key", "main")
-    mixed = cut(placed.join(split, "key"))
-    minor = mixed.where("label <> main").select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
-    rest = minor.join(mixed, "key").where((F.col("xl") != F.col("label")) & near_size(F.col("n"), F.col("xn")) & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("node"))))
-    rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = cut(rest)
-    if not rest.isEmpty():
-        more = cut(pairs_verified(rest))
-        if not more.isEmpty():
-            edges = edges.union(more)
-            labels = components(edges)
+    placed = shared.join(_counted(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = placed.groupBy("key", "label").agg(F.count("*").alias("count"), F.sum("n").alias("n")).groupBy("key")
+    split = split.agg(F.count("*").alias("kinds"), F.max(F.struct("count", "label"))["label"].alias("main"), F.sum("n").alias("all_n")).where("kinds > 1").select("key", "main", "all_n")
+    mixed = cut(placed.join(split, "key").withColumn("minor", F.col("label") != F.col("main")))
+    small = mixed.where(F.col("c") <= SMALL_BUCKET)
+    minor = small.where("minor").select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
+    rest = minor.join(small, "key").where((F.col("xl") != F.col("label")) & near_size(F.col("n"), F.col("xn")) & (~F.col("minor") | (F.col("x") < F.col("node"))))
+    rest = cut(rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    more = [] if rest.isEmpty() else [verified(rest)]
+    large = mixed.where(F.col("c") > SMALL_BUCKET)
+    if not large.isEmpty():
+        blocks = F.ceil(F.col("all_n") / BLOCK_SHINGLES).cast("int")
+        block = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        tasks = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("key", F.least(j, block), F.greatest(j, block)))
+        rows_ = large.join(texts_of(large.select("node")), "node").select(F.explode(tasks).alias("task"), "node", "label", "minor", "text")
+        rows_ = rows_.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task")
+        more.append(cut(rows_.mapInArrow(cross_kernel(size, threshold), "a binary, b binary")))
+    more = [m for m in more if not m.isEmpty()]
+    for m in more:
+        edges = edges.union(m)
+    if more:
+        labels = components(edges)
 
     narrow = ids.select("doc_id", "node").join(_counted(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = narrow.where("label IS NOT NULL").groupBy("label").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node"))).alias("head"), F.min("node").alias("any_node"))

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from fourfold.llm import neardedup
 from fourfold.llm.neardedup import bagminhash, near_duplicates, similarities
 
 
@@ -62,7 +63,10 @@ def test_similarity_matches_counters():
     assert np.allclose(got, [jaccard(bag(x), bag(y)) for x, y in zip(a, b)])
 
 
-def test_groups_match_brute_force(spark):
+@pytest.mark.parametrize("small, block", [(64, 2_000_000), (2, 2_000_000), (2, 400)])
+def test_groups_match_brute_force(spark, monkeypatch, small, block):
+    monkeypatch.setattr(neardedup, "SMALL_BUCKET", small)
+    monkeypatch.setattr(neardedup, "BLOCK_SHINGLES", block)
     rng = np.random.default_rng(2)
     vocab = [f"w{i}" for i in range(300)]
     rows = []
@@ -74,6 +78,12 @@ def test_groups_match_brute_force(spark):
             for _ in range(int(rng.integers(0, 4))):
                 w[int(rng.integers(len(w)))] = str(rng.choice(vocab))
             rows.append((len(rows), " ".join(w)))
+    base = list(rng.choice(vocab, 120))
+    for i in range(60):  # copies that are near the original rather than each other
+        w = list(base)
+        for _ in range(int(rng.integers(2, 5)) if i else 0):
+            w[int(rng.integers(120))] = f"new{i}"
+        rows.append((len(rows), " ".join(w)))
     rows += [(1000, None), (1001, None), (1002, ""), (1003, ""), (1004, "!!"), (1005, "one"), (1006, "ONE"), (1007, "a b c d"), (1008, "a b c d"), (1009, "la " * 3000), (1010, "la " * 3100)]
     rows += [rows[0], rows[3]]
     df = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], "doc_id long, text string, node string, label string").repartition(5)
