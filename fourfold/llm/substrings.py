@@ -4,12 +4,12 @@ A window of ``span`` words is removed from a document if it also starts in a doc
 
 1. Sieve. Of each window the k-gram with the least hash is its anchor; equal windows have equal anchors, so only windows
    whose anchor lies in two documents or more can repeat. Equal texts are settled first: all but the first are covered.
-2. Partition. Each candidate window is a suffix, written as the symbols of its tree path: hashes (64 bits each) of its words
-   1-10, 11-25 and 26-50. Suffixes are dealt out by a prefix of that path: the first symbol, or all of them where the anchor is
-   so frequent that the group would outgrow ``group_rows``; then the group is also dealt by document.
-3. Trees. Within a partition suffixes are sorted (spilling to disk) and read once in order, which visits the tree's leaves left to
-   right; the depth at which neighbours part gives the internal nodes. All leaves below a node of full depth are one repeat.
-   Its first document keeps it. Where a repeat was dealt to several parts, the firsts of the parts are compared once more.
+2. Partition. Each candidate window is a suffix of which ``span`` words matter. Suffixes are dealt out by a prefix, in which the anchor's
+   words are read first: so the suffixes around one anchor travel as one run, with a hash of each one's words. Where an anchor is so
+   frequent that its group would outgrow ``group_rows``, the prefix is lengthened by the document, which splits the group.
+3. Trees. A partition is sorted (spilling to disk) and read once, group by group; a group's leaves are put in order, and where
+   neighbours part above full depth a new deep node begins. All leaves below a node of full depth are one repeat. Its first
+   document keeps it. Where a group was dealt to several parts, the firsts of the parts are compared once more.
 4. Windows become stretches of words per document; overlapping stretches are the maximal repeats.
 
 Defined results: null and short texts lose nothing; a null id counts as larger than any other; rows with one id are never earlier
@@ -30,10 +30,8 @@ from .common import cut
 from .kernels import U64, Words, gram_hashes, mix64, slices, text_buffer
 
 SPAN, GRAM = 50, 10
-#: Where the path's symbols end, as shares of the span.
-_CUTS = (0.2, 0.5, 1.0)
-#: Suffixes of one repeat that a partition should hold at most; and bytes that may be broadcast.
-GROUP_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+#: Runs that a group should hold at most (41 suffixes each at most); and bytes that may be broadcast.
+GROUP_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
 _LAST = (1 << 63) - 1
 
 
@@ -73,8 +71,10 @@ def anchor_kernel(span: int, gram: int):
 
 
 def suffix_kernel(span: int, gram: int, group_rows: int):
-    """(ord, text, repeated anchors, their counts) to suffixes: part, three symbols, ord, pos, hot."""
-    cuts = [round(span * c) for c in _CUTS]
+    """(ord, text, repeated anchors, their counts) to runs of suffixes: part, anchor, ord, pos, hot, labels.
+
+    A run is the suffixes at pos, pos + 1, ... that have one anchor; labels are the hashes of their ``span`` words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,60 +96,75 @@ def suffix_kernel(span: int, gram: int, group_rows: int):
                 mine = mix64(g[anchors] ^ mix64(words.row[starts].astype(U64) + U64(1)))
                 at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
                 hit = known[at] == mine
-                starts, count = starts[hit], count[at][hit]
-                path, was = [], 0
-                for upto in cuts:
-                    path.append(gram_hashes(h, upto - was)[starts + was])
-                    was = upto
-                ords = ids[lo:hi][words.row[starts]]
-                parts = np.maximum(1, -(-count // group_rows)).astype(U64)
-                hot = parts > U64(1)
-                deal = np.where(hot, mix64(path[0] ^ mix64(path[1] ^ mix64(path[2]))) + mix64(ords.astype(U64)) % parts, path[0])
+                starts, anchors, count = starts[hit], anchors[hit], count[at][hit]
+                if not len(starts):
+                    continue
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(anchors) != 0)]))
+                row, anchor = words.row[starts[first]], g[anchors[first]]
+                parts = np.maximum(1, -(-count[first] // group_rows)).astype(U64)
+                ords = ids[lo:hi][row]
+                deal = mix64(anchor + np.where(parts > U64(1), mix64(ords.astype(U64)) % parts, U64(0)))
+                labels = pa.ListArray.from_arrays(pa.array(np.append(first, len(starts)).astype(np.int32)), pa.array(gram_hashes(h, span)[starts].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x.view(np.int64)) for x in (mix64(deal), *path)), pa.array(ords), pa.array((starts - words.first[words.row[starts]]).astype(np.int32)), pa.array(hot)],
-                    ["part", "s1", "s2", "s3", "ord", "pos", "hot"],
+                    [pa.array(deal.view(np.int64)), pa.array(anchor.view(np.int64)), pa.array(ords), pa.array((starts[first] - words.first[row]).astype(np.int32)), pa.array(parts > U64(1)), labels],
+                    ["part", "anchor", "ord", "pos", "hot", "labels"],
                 )
 
     return run
 
 
-def tree_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes (part, s1, s2, s3, ord, pos, hot) to (repeat, ord, pos, sure).
+def _leaves(t: pa.Table) -> pa.RecordBatch:
+    """The subtrees of whole groups (runs of suffixes): stretches of repeated windows, and what other parts must confirm."""
+    t = t.combine_chunks()
+    part, anchor, ords, pos, hot = (t.column(i).to_numpy() for i in range(5))
+    lists = t.column(5).chunk(0) if t.num_rows else pa.array([], pa.list_(pa.int64()))
+    size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+    label, row = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size)), size)
+    group = np.cumsum(np.concatenate([[True], (np.diff(part) != 0) | (np.diff(anchor) != 0)]))[row]
+    leaf = ords[row]
+    order = np.lexsort((leaf, label, group))  # the tree's leaves from left to right
+    g, l = group[order], label[order]
+    node = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (l[1:] != l[:-1])]))  # where neighbours part above full depth
+    first = np.empty(len(label), leaf.dtype)
+    first[order] = np.repeat(leaf[order][node], np.diff(np.append(node, len(label))))
+    sure = leaf > first
+    place = pos[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    begins = sure & ~np.concatenate([[False], sure[:-1] & (row[1:] == row[:-1])])
+    ends = sure & ~np.concatenate([sure[1:] & (row[1:] == row[:-1]), [False]])
+    ask = np.flatnonzero(hot[row] & ~sure)
+    columns = [np.concatenate([x[begins], x[ask]]) for x in (label, leaf, place)]
+    upto = np.concatenate([place[ends] + 1, place[ask] + 1])
+    return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(upto.astype(np.int32)), pa.array(np.arange(len(upto)) < begins.sum())], ["repeat", "ord", "lo", "hi", "sure"])
 
-    A new leaf whose path parts from the one before above full depth opens a node; the first leaf's document is the first of the
-    node. Leaves of later documents are sure; leaves of the first are passed on only where other parts may hold the same node.
-    """
-    last, first = None, None
+
+def tree_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs sorted by part, anchor and ord to (repeat, ord, lo, hi, sure): windows lo to hi - 1 of a document also start in an earlier one
+    (sure), or are the first of a part whose group was dealt to several. Whole groups are worked on together."""
+    held = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        path = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
-        ords, pos, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5, 6))
-        opens = np.ones(len(ords), bool)
-        opens[1:] = (path[:, 1:] != path[:, :-1]).any(axis=0)
-        if last is not None and (path[:, 0] == last).all():
-            opens[0] = False
-        at = np.maximum.accumulate(np.where(opens, np.arange(len(ords)), -1))
-        firsts = np.where(at >= 0, ords[at], first if first is not None else 0)
-        last, first = path[:, -1].copy(), firsts[-1]
-        sure = ords > firsts
-        out = np.flatnonzero(sure | hot)
-        u = path.view(U64)
-        repeat = mix64(u[1] ^ mix64(u[2] ^ mix64(u[3]))).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(repeat[out]), pa.array(ords[out]), pa.array(pos[out]), pa.array(sure[out])], ["repeat", "ord", "pos", "sure"])
+        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        part, anchor = t.column(0).to_numpy(), t.column(1).to_numpy()
+        edge = np.flatnonzero((np.diff(part) != 0) | (np.diff(anchor) != 0))
+        at = int(edge[-1]) + 1 if len(edge) else 0
+        if at:
+            yield _leaves(t.slice(0, at))
+        held = t.slice(at)
+    if held is not None and held.num_rows:
+        yield _leaves(held)
 
 
 def stretch_kernel(span: int):
-    """(ord, window starts) to (ord, stretches): start, end, start, end, ..."""
+    """(ord, list of (lo, hi)) to (ord, stretches): first word, end, first word, end, ..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for starts in batch.column(1):
-                p = np.unique(starts.values.to_numpy(zero_copy_only=False))
-                new = np.flatnonzero(np.diff(p) > span) + 1
-                lo, hi = p[np.concatenate([[0], new])], p[np.concatenate([new - 1, [len(p) - 1]])] + span
-                out.append(np.stack([lo, hi], 1).ravel())
+            for windows in batch.column(1):
+                lo, hi = (x.to_numpy(zero_copy_only=False) for x in windows.values.flatten())
+                order = np.argsort(lo, kind="stable")
+                lo, hi = lo[order], np.maximum.accumulate(hi[order] - 1 + span)
+                new = np.flatnonzero(lo[1:] > hi[:-1]) + 1
+                out.append(np.stack([lo[np.concatenate([[0], new])], hi[np.concatenate([new - 1, [len(lo) - 1]])]], 1).ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["ord", "stretches"])
 
     return run
@@ -203,14 +218,14 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     listed = anchors.join(repeated, "anchor").groupBy("ord").agg(F.collect_list(F.struct("anchor", "often")).alias("x"))
     listed = cut(listed.select("ord", F.col("x.anchor").alias("anchors"), F.col("x.often").alias("often")))
     suffixes = first.join(_sized(listed, 64 + 16 * F.size("anchors")), "ord").select("ord", "text", "anchors", "often")
-    suffixes = suffixes.mapInArrow(suffix_kernel(span, gram, group_rows), "part long, s1 long, s2 long, s3 long, ord long, pos int, hot boolean")
-    leaves = suffixes.repartition(_partitions(docs), "part").sortWithinPartitions("part", "s1", "s2", "s3", "ord", "pos")
-    found = cut(leaves.mapInArrow(tree_kernel, "repeat long, ord long, pos int, sure boolean"))
-
-    open_ = found.where("NOT sure")
-    earliest = open_.groupBy("repeat").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("repeat", "lo")
-    later = open_.join(earliest, "repeat").where("ord > lo").select("ord", "pos")
-    starts = found.where("sure").select("ord", "pos").union(later).groupBy("ord").agg(F.collect_list("pos").alias("starts"))
+    suffixes = suffixes.mapInArrow(suffix_kernel(span, gram, group_rows), "part long, anchor long, ord long, pos int, hot boolean, labels array<long>")
+    leaves = suffixes.repartition(_partitions(docs), "part").sortWithinPartitions("part", "anchor", "ord")
+    found = cut(leaves.mapInArrow(tree_kernel, "repeat long, ord long, lo int, hi int, sure boolean"))
+
+    ask = found.where("NOT sure")
+    earliest = ask.groupBy("repeat").agg(F.min("ord").alias("a"), F.max("ord").alias("z")).where("a < z").select("repeat", "a")
+    later = ask.join(earliest, "repeat").where("ord > a").select("ord", "lo", "hi")
+    starts = found.where("sure").select("ord", "lo", "hi").union(later).groupBy("ord").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))
     stretches = cut(starts.mapInArrow(stretch_kernel(span), "ord long, stretches array<int>"))
     whole = docs.join(_sized(stretches, 64 + 4 * F.size("stretches")), "ord", "left").select("doc_id", "text", "copy", "stretches")
     return whole.mapInArrow(remover(span, with_text), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
