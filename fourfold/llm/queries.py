@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import decontaminate as _decontaminate
 from . import fingerprint as _fingerprint
 from . import htmltext as _htmltext
+from . import langid as _langid
 from . import mixing as _mixing
 from . import neardedup as _neardedup
 from . import sharding as _sharding
@@ -19,6 +20,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return _langid.predict(docs, _langid.learn(docs))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -158,5 +164,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(qs), 0) AS B
 FROM d LEFT JOIN r USING (rid)
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_main_text": op3_main_text, "op4_mix": op4_mix, "op5_fingerprint": op5_fingerprint, "op6_shard": op6_shard, "op7_near_dedup": op7_near_dedup, "op8_warc": op8_warc, "op9_remove_repeats": op9_remove_repeats}
+QUERIES = {"op1_langid": op1_langid, "op2_decontaminate": op2_decontaminate, "op3_main_text": op3_main_text, "op4_mix": op4_mix, "op5_fingerprint": op5_fingerprint, "op6_shard": op6_shard, "op7_near_dedup": op7_near_dedup, "op8_warc": op8_warc, "op9_remove_repeats": op9_remove_repeats}
 ORACLES = {"op2_decontaminate": OP2_SQL, "op4_mix": OP4_SQL, "op6_shard": OP6_SQL, "op8_warc": OP8_SQL, "op9_remove_repeats": OP9_SQL}
