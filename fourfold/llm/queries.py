@@ -9,6 +9,7 @@ from . import decontaminate as _decontaminate
 from . import fingerprint as _fingerprint
 from . import htmltext as _htmltext
 from . import langid as _langid
+from . import licenses as _licenses
 from . import mixing as _mixing
 from . import neardedup as _neardedup
 from . import sharding as _sharding
@@ -164,5 +165,35 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(qs), 0) AS B
 FROM d LEFT JOIN r USING (rid)
 """
 
-QUERIES = {"op1_langid": op1_langid, "op2_decontaminate": op2_decontaminate, "op3_main_text": op3_main_text, "op4_mix": op4_mix, "op5_fingerprint": op5_fingerprint, "op6_shard": op6_shard, "op7_near_dedup": op7_near_dedup, "op8_warc": op8_warc, "op9_remove_repeats": op9_remove_repeats}
-ORACLES = {"op2_decontaminate": OP2_SQL, "op4_mix": OP4_SQL, "op6_shard": OP6_SQL, "op8_warc": OP8_SQL, "op9_remove_repeats": OP9_SQL}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _licenses.scan(_read(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.col("matches.license")))
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        "n_words",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(names, ",").alias("licenses"),
+        F.array_max("matches.containment").alias("containment"),
+    )
+
+
+_SPLIT = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_VALUES = ", ".join("({}, '{}', '{}')".format(i, a, b.replace("'", "''")) for i, (a, b) in enumerate(_licenses.TEMPLATES))
+OP10_SQL = f"""
+WITH t AS (SELECT tid, license, {_SPLIT} AS w FROM (VALUES {_VALUES}) v(tid, license, text)),
+ts AS (SELECT tid, license, len(w) AS length, p, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 3)) AS p FROM t)),
+tn AS (SELECT tid, count(DISTINCT g) AS n, max(length) - 4 AS s, greatest(2, max(length) // 4) AS slack FROM ts GROUP BY tid),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_SPLIT} AS w FROM documents),
+ds AS (SELECT rid, p, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS p FROM d)),
+m AS (SELECT rid, tid, license, ds.p, ds.p - ts.p AS shift, g FROM ds JOIN ts USING (g)),
+a AS (SELECT DISTINCT rid, tid, license, shift FROM m),
+c AS (SELECT a.rid, a.tid, a.license, a.shift, count(DISTINCT m.g) / CAST(any_value(n) AS DOUBLE) AS c
+      FROM a JOIN tn USING (tid) JOIN m ON m.rid = a.rid AND m.tid = a.tid AND m.p BETWEEN a.shift + 1 - slack AND a.shift + s + slack GROUP BY ALL),
+b AS (SELECT rid, tid, license, max(c) AS c FROM c WHERE c >= 0.8 - 1e-12 GROUP BY ALL),
+r AS (SELECT rid, count(*) AS n_matches, array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses, max(c) AS containment FROM b GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_matches, 0) AS BIGINT) AS n_matches, coalesce(licenses, '') AS licenses, containment
+FROM d LEFT JOIN r USING (rid)
+"""
+
+QUERIES = {"op1_langid": op1_langid, "op2_decontaminate": op2_decontaminate, "op3_main_text": op3_main_text, "op4_mix": op4_mix, "op5_fingerprint": op5_fingerprint, "op6_shard": op6_shard, "op7_near_dedup": op7_near_dedup, "op8_warc": op8_warc, "op9_remove_repeats": op9_remove_repeats, "op10_licenses": op10_licenses}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op4_mix": OP4_SQL, "op6_shard": OP6_SQL, "op8_warc": OP8_SQL, "op9_remove_repeats": OP9_SQL, "op10_licenses": OP10_SQL}
