@@ -1,5 +1,95 @@
-"""The corpus pipeline: placeholder stages are filled in as the operators land."""
+"""The corpus pipeline: languages told, near-duplicates and leaked benchmark text dropped, sources mixed, rows sharded.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next stage's docs.
+All but the last return the columns of ``documents``. Decisions reach the texts by anti-joins on (id, hash of the text); the lists of
+decisions are counted, and broadcast only while they are small.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fourfold.llm import decontaminate, langid, mixing, neardedup, sharding
+from fourfold.llm.common import cut, fresh, shared_dir
+
+#: Rows of decisions (id and hash) that may be broadcast.
+BROADCAST_ROWS = 400_000
+LEAST_SCORE = 0.5
+
+
+def _keyed(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined to ``keys`` (doc, text_hash and what else it has) by id and text, null-safe."""
+    doc, hash_ = fresh(docs, "_doc", "_hash")
+    keys = keys.withColumnRenamed("doc", doc).withColumnRenamed("text_hash", hash_)
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    on = docs["doc_id"].eqNullSafe(keys[doc]) & F.xxhash64(docs["text"]).eqNullSafe(keys[hash_])
+    return docs.join(keys, on, how).drop(doc, hash_) if how == "inner" else docs.join(keys, on, how)
+
+
+def _once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` with rows whose (doc, text_hash) is in ``repeated`` kept once."""
+    if repeated.isEmpty():
+        return docs
+    key = fresh(docs, "_key")[0]
+    twins = _keyed(docs, repeated, "left_semi").withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key]).drop(key)
+    return _keyed(docs, repeated, "left_anti").unionByName(twins)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the field tells; what has no letters, or no clear language, goes."""
+    return langid.keep_identified(docs, langid.learn(docs), least=LEAST_SCORE)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the least id."""
+    hashed = F.xxhash64("text").alias("text_hash")
+    found = cut(neardedup.near_duplicates(docs))
+    head = F.col("doc_id").eqNullSafe(F.col("group_id")) & F.col("node").eqNullSafe(F.col("group_node"))
+    keys = docs.select(F.col("doc_id").alias("doc"), F.unhex(F.md5("text")).alias("node"), hashed)
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    def hashes(rows: DataFrame) -> DataFrame:
+        rows = cut(rows.select(F.col("doc_id").alias("_d"), F.col("node").alias("_n")).distinct())
+        return cut(keys.join(small(rows), keys["doc"].eqNullSafe(F.col("_d")) & (keys["node"] == F.col("_n")), "left_semi").select("doc", "text_hash").distinct())
+
+    kept = _keyed(docs, hashes(found.where(~head)), "left_anti")
+    return _once(kept, hashes(found.where(head & F.col("node").isNotNull()).groupBy("doc_id", "node").count().where("count > 1")))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window with a benchmark item; all others go."""
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _keyed(docs, cut(found.where("n_hit > 0").select("doc", "text_hash").distinct()), "left_anti")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it (words taken over its size, rounded), at most three times."""
+    taken = mixing.mix(docs)
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    times = cut(taken.groupBy(F.col("doc_id").alias("doc"), "text_hash").agg(F.sum(times).cast("int").alias("_times"), F.count("*").alias("_rows")))
+    once = _once(docs, times.where("_rows > 1").select("doc", "text_hash"))
+    repeated = _keyed(once, times.where("_times > 0").select("doc", "text_hash", "_times"), "inner")
+    return repeated.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the shard that each goes to."""
+    return sharding.assign_shards(docs, "doc_id")
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixture", mixture), ("shard", shard)]
+#: A trained field and signatures are not expressible in SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; what lies between them is kept in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}-{name}")
+        docs = spark.read.parquet(f"{at}/{i}-{name}")
+    return docs

@@ -259,3 +259,32 @@ def labeller(crf: Crf):
 def predict(docs: DataFrame, crf: Crf, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(labeller(crf), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+
+
+def filterer(crf: Crf, least: float):
+    """Rows whose last column is the text to those with a language and a score of at least ``least``, without that column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def feed():
+            for batch in batches:
+                if batch.num_rows:
+                    held.append(batch)
+                    none = pa.nulls(batch.num_rows)
+                    yield pa.RecordBatch.from_arrays([none, none, batch.column(batch.num_columns - 1)], ["doc_id", "held_out", "text"])
+
+        mask: list[bool] = []
+        for out in labeller(crf)(feed()):
+            mask += [p != UNKNOWN and s >= least for p, s in zip(out.column(2).to_pylist(), out.column(3).to_pylist())]
+            if len(mask) == held[0].num_rows:
+                batch = held.pop(0)
+                yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(mask, pa.bool_()))
+                mask = []
+
+    return run
+
+
+def keep_identified(docs: DataFrame, crf: Crf, *, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is told with a score of at least ``least``; nothing is shuffled."""
+    return docs.select("*", F.col(text).alias("_text_")).mapInArrow(filterer(crf, least), docs.schema)

@@ -83,15 +83,15 @@ def blocks(sizes: DataFrame, block: int) -> DataFrame:
     laid = bucketed.withColumn("end", F.sum("size").over(inside)).join(base, ["sid", "bucket"])
     laid = laid.withColumn("end", F.col("base") + F.col("end")).withColumn("start", F.col("end") - F.col("size"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)
-    cutup = laid.select("rid", "doc_id", "sid", "size", "source_size", "target", "start", "end", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))).alias("block"))
+    cutup = laid.select("rid", "doc_id", "text_hash", "sid", "size", "source_size", "target", "start", "end", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))).alias("block"))
     words = F.least("end", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
     return cutup.withColumn("words", F.coalesce(words, F.lit(0)))
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document row: rid, doc_id, size, source_size, target, taken."""
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """One row per document row: rid, doc_id, text_hash, size, source_size, target, taken."""
     spark = docs.sparkSession
-    sizes = cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key_hash(F.col(doc_id)).alias("h")))
+    sizes = cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key_hash(F.col(doc_id)).alias("h")))
     sources = cut(source_targets(sizes, weights, repeats))
     count, total, least = sources.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0)), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
     block = max(1, -(-total // MAX_SLOTS), min(BLOCK, int((least or 1) / FINENESS)))
@@ -102,4 +102,4 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     turns = slots.join(F.broadcast(lengths) if count <= BROADCAST_SOURCES else lengths, "sid").where(F.col("rank") < repeats * F.col("blocks"))
     turns = turns.groupBy("sid", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"))
     taken = blocks(sizes, block).join(turns, ["sid", "block"], "left")
-    return taken.groupBy("rid", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken"))
+    return taken.groupBy("rid", "doc_id", "text_hash", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken"))
