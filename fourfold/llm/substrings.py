@@ -217,7 +217,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     repeated = anchors.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("often")).where("lo < hi").select("anchor", "often")
     listed = anchors.join(repeated, "anchor").groupBy("ord").agg(F.collect_list(F.struct("anchor", "often")).alias("x"))
     listed = cut(listed.select("ord", F.col("x.anchor").alias("anchors"), F.col("x.often").alias("often")))
-    suffixes = first.join(_sized(listed, 64 + 16 * F.size("anchors")), "ord").select("ord", "text", "anchors", "often")
+    suffixes = first.join(listed, "ord").select("ord", "text", "anchors", "often")
     suffixes = suffixes.mapInArrow(suffix_kernel(span, gram, group_rows), "part long, anchor long, ord long, pos int, hot boolean, labels array<long>")
     leaves = suffixes.repartition(_partitions(docs), "part").sortWithinPartitions("part", "anchor", "ord")
     found = cut(leaves.mapInArrow(tree_kernel, "repeat long, ord long, lo int, hi int, sure boolean"))
