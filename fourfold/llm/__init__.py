@@ -3,7 +3,6 @@
 Python kernels are shipped to executors by value, so a cluster needs no copy of this package.
 """
 
-import importlib
 import sys
 
 from pyspark import cloudpickle
