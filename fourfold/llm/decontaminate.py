@@ -90,9 +90,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     joined = prints.join(ours, ["gram", "hash"], "left").where((F.col("gram") == 0) | F.col("items").isNotNull())
 
     side, mine, other = window - 1, F.col("around"), F.col("theirs")
-    long, k = F.col("gram") == gram, F.col("gram")
-    if gram in short:  # then the arrays' lengths tell a whole item from a k-gram
-        long = F.size(mine) > gram
+    k = F.col("gram")
+    long = (k == gram) & (F.size(mine) > gram)  # a short item of as many words has none around it
     same = F.when(long, F.slice(mine, side + 1, gram) == F.slice(other, side + 1, gram)).otherwise(mine == other)
     left = F.when(long, _extent(mine, other, side - 1, -1, side)).otherwise(0)
     right = F.when(long, _extent(mine, other, side + gram, 1, side)).otherwise(0)
