@@ -214,7 +214,8 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     first = docs.where("NOT copy AND text IS NOT NULL").select("ord", "text")
 
     anchors = first.mapInArrow(anchor_kernel(span, gram), "anchor long, ord long")
-    repeated = anchors.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("often")).where("lo < hi").select("anchor", "often")
+    # Kept, so that both sides of the join are shuffled for it alone and a very frequent anchor can be split.
+    repeated = cut(anchors.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("often")).where("lo < hi").select("anchor", "often"))
     listed = anchors.join(repeated, "anchor").groupBy("ord").agg(F.collect_list(F.struct("anchor", "often")).alias("x"))
     listed = cut(listed.select("ord", F.col("x.anchor").alias("anchors"), F.col("x.often").alias("often")))
     suffixes = first.join(listed, "ord").select("ord", "text", "anchors", "often")
