@@ -17,7 +17,7 @@ from fourfold.llm.common import cut, fresh, shared_dir
 
 #: Rows of decisions (id and hash) that may be broadcast.
 BROADCAST_ROWS = 400_000
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def _keyed(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
