@@ -275,7 +275,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         labels = components(edges)
 
     narrow = ids.select("doc_id", "node").join(_counted(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    heads = narrow.where("label IS NOT NULL").groupBy("label").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node"))).alias("head"), F.min("node").alias("any_node"))
+    # Kept, so that the join back to a large group's rows can be split.
+    heads = cut(narrow.where("label IS NOT NULL").groupBy("label").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node"))).alias("head"), F.min("node").alias("any_node")))
     joined = narrow.join(heads, "label", "left")
     alone = F.col("label").isNull()
     return joined.select("doc_id", "node", F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("group_id"), F.when(~alone, F.coalesce("head.node", "any_node")).alias("group_node"))
