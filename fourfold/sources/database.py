@@ -206,6 +206,8 @@ class Transaction:
 
     def _about(self, key: str):
         table = table_of(key)
+        if any(op[0] == "bulk" for op in self.ops):
+            raise FourfoldError("a write statement's records are seen once it is committed")
         return [op for op in self.ops if op[0] in ("put", "delete") and op[1] == key or op[0] == "drop" and op[1] == table]
 
     def _stored(self, key: str) -> dict[str, Any] | None:
@@ -356,6 +358,12 @@ class Database:
             elif op[0] == "delete":
                 rows.setdefault(table_of(op[1]), []).append((seq, True, op[1], {}))
                 links.append((op[1], None, None, seq, True))
+            elif op[0] == "bulk":
+                for f in op[4]:
+                    self._widen(m, op[1], f)
+                m.tables[op[1]].deltas.append(op[2])
+                if op[3]:
+                    m.links.deltas.append(op[3])
             elif op[0] == "drop":
                 rows.pop(op[1], None)
                 m.tables.pop(op[1], None)
