@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import extra as X
 from ..functions import values as V
 from ..operators import graph, vectors
 from ..sources.tables import table
@@ -491,3 +492,54 @@ def events_sliding(spark, d):
 @query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, sid")
 def events_session(spark, d):
     return E.sessions(table(spark, d, "events"), "30 minutes").select("user_id", "start", "n")
+
+
+# Functions of the pass-through tier.
+@query("SELECT p_partkey FROM part WHERE p_name GLOB '*[a-e]?t*'")
+def glob_match(spark, d):
+    return table(spark, d, "part").where(X.glob(F.col("p_name"), "*[a-e]?t*")).select("p_partkey")
+
+
+@query("SELECT p_partkey, regexp_matches(p_type, '^[A-Z]+ .*E') AS hit FROM part")
+def regexp_match(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.col("p_type").rlike("^[A-Z]+ .*E").alias("hit"))
+
+
+@query("SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'")
+def collate_nocase(spark, d):
+    return table(spark, d, "customer").where(X.nocase(F.col("c_mktsegment")) == X.nocase(F.lit("Building"))).select("c_custkey")
+
+
+@query("SELECT p_partkey, hex(p_name) AS h, unicode(p_name) AS u, concat_ws('-', p_brand, nullif(p_size, 7)) AS c, chr(39) || replace(p_name, chr(39), chr(39) || chr(39)) || chr(39) AS q FROM part")
+def text_functions(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.hex("p_name").alias("h"), F.ascii("p_name").alias("u"), F.concat_ws("-", "p_brand", F.nullif(F.col("p_size"), F.lit(7)).cast("string")).alias("c"), X.quote(F.col("p_name"), "text").alias("q"))
+
+
+@query("SELECT c_custkey, CAST(sign(c_acctbal) AS INTEGER) AS s, CASE WHEN c_acctbal > 0 THEN 'in' ELSE 'out' END AS w, printf('%05d|%s', c_custkey, c_mktsegment) AS p FROM customer")
+def sign_iif_printf(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.signum("c_acctbal").cast("int").alias("s"), F.when(F.col("c_acctbal") > 0, "in").otherwise("out").alias("w"), F.format_string("%05d|%s", "c_custkey", "c_mktsegment").alias("p"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d %H:%M') AS t, CAST(dayofweek(o_orderdate) AS VARCHAR) AS w, CAST(epoch(o_orderdate) AS BIGINT) AS e, epoch(o_orderdate) / 86400.0 + 2440587.5 AS j FROM orders")
+def dates_on_fields(spark, d):
+    ts = F.col("o_orderdate").cast("timestamp")
+    return table(spark, d, "orders").select("o_orderkey", X.strftime("%Y/%m/%d %H:%M", ts).alias("t"), X.strftime("%w", ts).alias("w"), F.unix_timestamp(ts).alias("e"), X.julianday(ts).alias("j"))
+
+
+@query("SELECT event_id, CAST(json_valid(props) AS BIGINT) AS ok, CAST(json_object('id', event_id, 'type', event_type) AS VARCHAR) AS o FROM events")
+def json_build(spark, d):
+    return table(spark, d, "events").select("event_id", X.json_valid(F.col("props")).alias("ok"), F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("o"))
+
+
+@query("SELECT n_regionkey, CAST(i AS INTEGER) AS idx, CAST(l[i + 1] AS VARCHAR) AS value FROM (SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey) AS l FROM nation GROUP BY ALL), unnest(range(len(l))) u(i)")
+def json_each_array(spark, d):
+    arrays = table(spark, d, "nation").groupBy("n_regionkey").agg(F.to_json(F.sort_array(F.collect_list("n_nationkey"))).alias("j"))
+    return X.json_each(arrays, "j")
+
+
+@query(f"SELECT vec_id, round({_DIST.format('embedding', _Q)}, 6) AS distance FROM embeddings WHERE {_DIST.format('embedding', _Q)} < 0.9")
+def distance_in_sql(spark, d):
+    """distance() called from SQL text."""
+    X.register(spark)
+    table(spark, d, "embeddings").createOrReplaceTempView("ff_embeddings")
+    return spark.sql("SELECT vec_id, round(distance(embedding, q), 6) AS distance FROM ff_embeddings JOIN (SELECT embedding AS q FROM ff_embeddings WHERE vec_id = 3) ON distance(embedding, q) < 0.9")
