@@ -6,17 +6,18 @@ import json
 import math
 import struct
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidError
 
 MAX_DIMS, MAX_K = 65_536, 10_000
-#: Query vectors of one batch that are shipped with the tasks.
-MAX_QUERIES = 4_096
+#: Query vectors, and values in them, of one block that is shipped with the tasks; and distances that a task holds at once.
+MAX_QUERIES, MAX_VALUES, MAX_CELLS = 4_096, 1 << 22, 1 << 22
 
 
 def check_vector(values: Sequence[float], dims: int | None = None) -> list[float]:
@@ -105,45 +106,66 @@ def nearest(table: DataFrame, query: Sequence[float], k: int, where: Column | st
 
 
 def nearest_many(table: DataFrame, queries: DataFrame, k: int, *, key: str = "key", vec: str = "vec", query_key: str = "key", query_vec: str = "vec") -> DataFrame:
-    """For each query record its k nearest: (query, key, distance, rank).
+    """For each query record its k nearest among the vectors of its size: (query, key, distance, rank), ties by key.
 
-    The queries (at most MAX_QUERIES, counted) go to every task; a task multiplies each batch of the table with all of them and passes on the
-    k best of the batch for each, so at most queries * k rows a batch are shuffled.
+    The queries are read once, a partition at a time, and worked through in blocks of at most MAX_QUERIES: a block goes to every task, which
+    multiplies each batch of the table with it and passes on the k best of the batch for each query. What a block finds is kept before the
+    next is read, so any number of queries is answered and the driver holds one block of each size and one partition.
     """
     if not 1 <= k <= MAX_K:
         raise InvalidError(f"k must be from 1 to {MAX_K}")
-    asked = queries.select(F.col(query_key).alias("q"), F.col(query_vec).alias("v")).where("v IS NOT NULL").limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise InvalidError(f"at most {MAX_QUERIES} queries at a time")
     kind, qkind = table.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
-    if not asked:
+    rows = table.select(F.col(key).alias("key"), F.col(vec).alias("vec"))
+    asked = _keep(queries.select(F.col(query_key).alias("q"), F.col(query_vec).alias("v")).where("size(v) > 0"))
+    found, open_ = [], {}
+    for r in asked.toLocalIterator():
+        block = open_.setdefault(len(r.v), [])
+        block.append(r)
+        if len(block) >= max(1, min(MAX_QUERIES, MAX_VALUES // len(r.v))):
+            found.append(_keep(_nearest_block(rows, open_.pop(len(r.v)), k, kind, qkind)))
+    found += [_keep(_nearest_block(rows, block, k, kind, qkind)) for block in open_.values()]
+    if not found:
         return table.sparkSession.createDataFrame([], f"query {qkind}, key {kind}, distance double, rank int")
-    names = [r.q for r in asked]
+    return reduce(DataFrame.unionAll, found)
+
+
+def _keep(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the shared folder if there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
+def _nearest_block(rows: DataFrame, asked: list, k: int, kind: str, qkind: str) -> DataFrame:
+    """The k nearest of (key, vec) for each of the queries (q, v), which have one size."""
+    names = pa.array([r.q for r in asked], _arrow(qkind))
     m = np.array([r.v for r in asked], np.float64)
     unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
     def run(batches):
         for batch in batches:
-            v = batch.column(1)
-            x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, unit.shape[1])
-            lengths = np.sqrt(np.einsum("ij,ij->i", x, x))
-            d = np.clip(1.0 - unit @ (x / np.where(lengths > 0, lengths, 1.0)[:, None]).T, 0.0, 2.0)
-            d[:, lengths == 0] = 1.0
-            if not d.shape[1]:
+            if not batch.num_rows:
                 continue
-            if d.shape[1] > k:  # ties at the k-th are all passed on
-                edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                qi, ri = np.nonzero(d <= edge)
-            else:
-                qi, ri = np.indices(d.shape).reshape(2, -1)
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in qi], _arrow(qkind)), batch.column(0).take(pa.array(ri)), pa.array(d[qi, ri])], ["query", "key", "distance"])
-
-    from pyspark.sql import Window
-
-    rows = table.select(F.col(key).alias("key"), F.col(vec).alias("vec")).where(F.size("vec") == unit.shape[1])
-    best = rows.mapInArrow(run, f"query {qkind}, key {kind}, distance double")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "key")))
-    return ranked.where(F.col("rank") <= k)
+            batch = batch.take(pa.compute.array_sort_indices(batch.column(0), null_placement="at_start"))
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, unit.shape[1])
+            lengths = np.sqrt(np.einsum("ij,ij->i", x, x))
+            x = (x / np.where(lengths > 0, lengths, 1.0)[:, None]).T
+            step = max(1, MAX_CELLS // len(lengths))
+            for lo in range(0, len(unit), step):
+                d = np.clip(1.0 - unit[lo : lo + step] @ x, 0.0, 2.0)
+                d[:, lengths == 0] = 1.0
+                if d.shape[1] > k:
+                    near = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                    for i in np.flatnonzero(near.sum(axis=1) > k):  # of the ties at the k-th, those with the least keys
+                        at = np.flatnonzero(near[i])
+                        near[i, at[np.argsort(d[i, at], kind="stable")[k:]]] = False
+                    qi, ri = np.nonzero(near)
+                else:
+                    qi, ri = np.indices(d.shape).reshape(2, -1)
+                at = pa.array((qi + lo).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([at, names.take(at), batch.column(0).take(pa.array(ri)), pa.array(d[qi, ri])], ["nth", "query", "key", "distance"])
+
+    best = rows.where(F.size("vec") == unit.shape[1]).mapInArrow(run, f"nth int, query {qkind}, key {kind}, distance double")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("nth").orderBy("distance", "key")))
+    return ranked.where(F.col("rank") <= k).drop("nth")
 
 
 def _arrow(kind: str):
