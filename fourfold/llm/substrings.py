@@ -6,12 +6,15 @@ A window of ``span`` words is removed from a document if it also starts in a doc
    whose anchor lies in two documents or more can repeat. Equal texts are settled first: all but the first are covered.
 2. Partition. Each candidate window is a suffix of which ``span`` words matter. Suffixes are dealt out by a prefix, in which the anchor's
    words are read first: so the suffixes around one anchor travel as one run, with a hash of each one's words. Where an anchor is so
-   frequent that its group would outgrow ``group_rows``, the prefix is lengthened by the document, which splits the group.
+   frequent that its group would outgrow ``group_rows``, the prefix is lengthened by the document's text, which splits the group.
 3. Trees. A partition is sorted (spilling to disk) and read once, group by group; a group's leaves are put in order, and where
    neighbours part above full depth a new deep node begins. All leaves below a node of full depth are one repeat. Its first
    document keeps it. Where a group was dealt to several parts, the firsts of the parts are compared once more.
 4. Windows become stretches of words per document; overlapping stretches are the maximal repeats.
 
+A document is its id and the MD5 of its text (ord, node) throughout: ord alone decides which is earlier, and rows that have one id, or none,
+keep to their own stretches. Rows equal in both lose the same words and are worked on once.
+
 Defined results: null and short texts lose nothing; a null id counts as larger than any other; rows with one id are never earlier
 than each other; other columns are not read. Tables are broadcast only after their bytes were summed.
 """
@@ -55,34 +58,40 @@ def window_anchors(words: Words, span: int, gram: int) -> tuple[np.ndarray, np.n
 
 
 def anchor_kernel(span: int, gram: int):
-    """(ord, text) to the distinct (anchor, ord)."""
+    """(ord, node, text) to the distinct (anchor, ord, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = text_buffer(batch.column(1))
+            data, offsets = text_buffer(batch.column(2))
             for lo, hi in slices(offsets):
                 words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], False)
                 _, anchors, g, _ = window_anchors(words, span, gram)
                 at = np.unique(anchors)
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(ids[lo:hi][words.row[at]])], ["anchor", "ord"])
+                row = pa.array(words.row[at] + lo)
+                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row)], ["anchor", "ord", "node"])
 
     return run
 
 
 def suffix_kernel(span: int, gram: int, group_rows: int):
-    """(ord, text, repeated anchors, their counts) to runs of suffixes: part, anchor, ord, pos, hot, labels.
+    """(ord, node, text, repeated anchors, their counts) to runs of suffixes: part, anchor, ord, node, pos, hot, labels.
 
-    A run is the suffixes at pos, pos + 1, ... that have one anchor; labels are the hashes of their ``span`` words.
+    A run is the suffixes at pos, pos + 1, ... that have one anchor; labels are the hashes of their ``span`` words. Of neighbours with
+    one node (equal rows) the first is taken.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = text_buffer(batch.column(1))
-            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(U64)
-            often = batch.column(3).flatten().to_numpy(zero_copy_only=False)
-            begin = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))])
+            nodes = [last, *batch.column(1).to_pylist()]
+            last = nodes[-1]
+            new = [i for i in range(len(nodes) - 1) if nodes[i] != nodes[i + 1]]
+            batch = batch if len(new) == batch.num_rows else batch.take(pa.array(new, pa.int64()))
+            dealt = np.frombuffer(b"".join(batch.column(1).to_pylist()), U64)[::2]
+            data, offsets = text_buffer(batch.column(2))
+            flat = batch.column(3).flatten().to_numpy(zero_copy_only=False).view(U64)
+            often = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+            begin = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False))]).astype(np.int64)
             for lo, hi in slices(offsets):
                 words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], False)
                 starts, anchors, g, h = window_anchors(words, span, gram)
@@ -102,12 +111,12 @@ def suffix_kernel(span: int, gram: int, group_rows: int):
                 first = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(anchors) != 0)]))
                 row, anchor = words.row[starts[first]], g[anchors[first]]
                 parts = np.maximum(1, -(-count[first] // group_rows)).astype(U64)
-                ords = ids[lo:hi][row]
-                deal = mix64(anchor + np.where(parts > U64(1), mix64(ords.astype(U64)) % parts, U64(0)))
+                deal = mix64(anchor + np.where(parts > U64(1), dealt[row + lo] % parts, U64(0)))
+                docs = pa.array(row + lo)
                 labels = pa.ListArray.from_arrays(pa.array(np.append(first, len(starts)).astype(np.int32)), pa.array(gram_hashes(h, span)[starts].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(deal.view(np.int64)), pa.array(anchor.view(np.int64)), pa.array(ords), pa.array((starts[first] - words.first[row]).astype(np.int32)), pa.array(parts > U64(1)), labels],
-                    ["part", "anchor", "ord", "pos", "hot", "labels"],
+                    [pa.array(deal.view(np.int64)), pa.array(anchor.view(np.int64)), batch.column(0).take(docs), batch.column(1).take(docs), pa.array((starts[first] - words.first[row]).astype(np.int32)), pa.array(parts > U64(1)), labels],
+                    ["part", "anchor", "ord", "node", "pos", "hot", "labels"],
                 )
 
     return run
@@ -116,8 +125,8 @@ def suffix_kernel(span: int, gram: int, group_rows: int):
 def _leaves(t: pa.Table) -> pa.RecordBatch:
     """The subtrees of whole groups (runs of suffixes): stretches of repeated windows, and what other parts must confirm."""
     t = t.combine_chunks()
-    part, anchor, ords, pos, hot = (t.column(i).to_numpy() for i in range(5))
-    lists = t.column(5).chunk(0) if t.num_rows else pa.array([], pa.list_(pa.int64()))
+    part, anchor, ords, pos, hot = (t.column(i).to_numpy() for i in (0, 1, 2, 4, 5))
+    lists = t.column(6).chunk(0) if t.num_rows else pa.array([], pa.list_(pa.int64()))
     size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
     label, row = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size)), size)
     group = np.cumsum(np.concatenate([[True], (np.diff(part) != 0) | (np.diff(anchor) != 0)]))[row]
@@ -134,11 +143,12 @@ def _leaves(t: pa.Table) -> pa.RecordBatch:
     ask = np.flatnonzero(hot[row] & ~sure)
     columns = [np.concatenate([x[begins], x[ask]]) for x in (label, leaf, place)]
     upto = np.concatenate([place[ends] + 1, place[ask] + 1])
-    return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(upto.astype(np.int32)), pa.array(np.arange(len(upto)) < begins.sum())], ["repeat", "ord", "lo", "hi", "sure"])
+    nodes = t.column(3).take(pa.array(np.concatenate([row[begins], row[ask]]))).combine_chunks()
+    return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), nodes, pa.array(columns[2].astype(np.int32)), pa.array(upto.astype(np.int32)), pa.array(np.arange(len(upto)) < begins.sum())], ["repeat", "ord", "node", "lo", "hi", "sure"])
 
 
 def tree_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by part, anchor and ord to (repeat, ord, lo, hi, sure): windows lo to hi - 1 of a document also start in an earlier one
+    """Runs sorted by part, anchor and ord to (repeat, ord, node, lo, hi, sure): windows lo to hi - 1 of a document also start in an earlier one
     (sure), or are the first of a part whose group was dealt to several. Whole groups are worked on together."""
     held = None
     for batch in batches:
@@ -154,18 +164,18 @@ def tree_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def stretch_kernel(span: int):
-    """(ord, list of (lo, hi)) to (ord, stretches): first word, end, first word, end, ..."""
+    """(ord, node, list of (lo, hi)) to (ord, node, stretches): first word, end, first word, end, ..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for windows in batch.column(1):
+            for windows in batch.column(2):
                 lo, hi = (x.to_numpy(zero_copy_only=False) for x in windows.values.flatten())
                 order = np.argsort(lo, kind="stable")
                 lo, hi = lo[order], np.maximum.accumulate(hi[order] - 1 + span)
                 new = np.flatnonzero(lo[1:] > hi[:-1]) + 1
                 out.append(np.stack([lo[np.concatenate([[0], new])], hi[np.concatenate([new - 1, [len(lo) - 1]])]], 1).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["ord", "stretches"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["ord", "node", "stretches"])
 
     return run
 
@@ -211,24 +221,24 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     docs = docs.withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("node", F.unhex(F.md5("text")))
     copies = cut(docs.groupBy("node").agg(F.min("ord").alias("earliest"), F.max("ord").alias("latest")).where("earliest < latest AND node IS NOT NULL").select("node", "earliest"))
     docs = docs.join(_sized(copies, F.lit(64)), "node", "left").withColumn("copy", F.coalesce(F.col("ord") > F.col("earliest"), F.lit(False)))
-    first = docs.where("NOT copy AND text IS NOT NULL").select("ord", "text")
+    first = docs.where("NOT copy AND text IS NOT NULL").select("ord", "node", "text")  # of one node only rows with its least ord
 
-    anchors = first.mapInArrow(anchor_kernel(span, gram), "anchor long, ord long")
+    anchors = first.mapInArrow(anchor_kernel(span, gram), "anchor long, ord long, node binary")
     # Kept, so that both sides of the join are shuffled for it alone and a very frequent anchor can be split.
     repeated = cut(anchors.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("often")).where("lo < hi").select("anchor", "often"))
-    listed = anchors.join(repeated, "anchor").groupBy("ord").agg(F.collect_list(F.struct("anchor", "often")).alias("x"))
-    listed = cut(listed.select("ord", F.col("x.anchor").alias("anchors"), F.col("x.often").alias("often")))
-    suffixes = first.join(listed, "ord").select("ord", "text", "anchors", "often")
-    suffixes = suffixes.mapInArrow(suffix_kernel(span, gram, group_rows), "part long, anchor long, ord long, pos int, hot boolean, labels array<long>")
+    listed = anchors.join(repeated, "anchor").groupBy("node").agg(F.collect_set(F.struct("anchor", "often")).alias("x"))
+    listed = cut(listed.select("node", F.col("x.anchor").alias("anchors"), F.col("x.often").alias("often")))
+    suffixes = first.join(listed, "node").select("ord", "node", "text", "anchors", "often")
+    suffixes = suffixes.mapInArrow(suffix_kernel(span, gram, group_rows), "part long, anchor long, ord long, node binary, pos int, hot boolean, labels array<long>")
     leaves = suffixes.repartition(_partitions(docs), "part").sortWithinPartitions("part", "anchor", "ord")
-    found = cut(leaves.mapInArrow(tree_kernel, "repeat long, ord long, lo int, hi int, sure boolean"))
+    found = cut(leaves.mapInArrow(tree_kernel, "repeat long, ord long, node binary, lo int, hi int, sure boolean"))
 
     ask = found.where("NOT sure")
     earliest = ask.groupBy("repeat").agg(F.min("ord").alias("a"), F.max("ord").alias("z")).where("a < z").select("repeat", "a")
-    later = ask.join(earliest, "repeat").where("ord > a").select("ord", "lo", "hi")
-    starts = found.where("sure").select("ord", "lo", "hi").union(later).groupBy("ord").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))
-    stretches = cut(starts.mapInArrow(stretch_kernel(span), "ord long, stretches array<int>"))
-    whole = docs.join(_sized(stretches, 64 + 4 * F.size("stretches")), "ord", "left").select("doc_id", "text", "copy", "stretches")
+    later = ask.join(earliest, "repeat").where("ord > a").select("ord", "node", "lo", "hi")
+    starts = found.where("sure").select("ord", "node", "lo", "hi").union(later).groupBy("ord", "node").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))
+    stretches = cut(starts.mapInArrow(stretch_kernel(span), "ord long, node binary, stretches array<int>"))
+    whole = docs.join(_sized(stretches, 96 + 4 * F.size("stretches")), ["ord", "node"], "left").select("doc_id", "text", "copy", "stretches")
     return whole.mapInArrow(remover(span, with_text), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 

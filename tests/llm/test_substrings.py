@@ -47,3 +47,15 @@ def test_kept_text_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (2, "x a b c d e y")], "doc_id long, text string")
     assert {r.doc_id: r.kept for r in remove_repeats(df, span=4, gram=2, with_text=True).collect()} == {1: "a b c d e f", 2: "x y"}
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("group_rows", [100_000, 2])
+def test_rows_of_one_id_keep_to_their_own_stretches(spark, group_rows):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    one, two = words("one", 20), words("two", 30)
+    rows = [(1, one), (2, two)]
+    rows += [(d, t) for d in (7, None) for t in (f"{one} {words(f'a{d}', 60)}", f"{words(f'b{d}', 70)}", f"{words(f'c{d}', 40)} {two} z")]
+    rows += [(None, f"{one} {words('many', 9)} {i}") for i in range(40)] + [rows[2], rows[6], rows[6], (None, None), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = remove_repeats(df, span=12, gram=4, group_rows=group_rows)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 12)
