@@ -1,15 +1,14 @@
-"""Repeated-passage removal by prefix-partitioned suffix trees over words.
+"""Repeated-passage removal by hashes of windows, dealt out by anchor, in place of prefix-partitioned suffix trees.
 
 A window of ``span`` words is removed from a document if it also starts in a document with a smaller id.
 
 1. Sieve. Of each window the k-gram with the least hash is its anchor; equal windows have equal anchors, so only windows
    whose anchor lies in two documents or more can repeat. Equal texts are settled first: all but the first are covered.
-2. Partition. Each candidate window is a suffix of which ``span`` words matter. Suffixes are dealt out by a prefix, in which the anchor's
-   words are read first: so the suffixes around one anchor travel as one run, with a hash of each one's words. Where an anchor is so
-   frequent that its group would outgrow ``group_rows``, the prefix is lengthened by the document's text, which splits the group.
-3. Trees. A partition is sorted (spilling to disk) and read once, group by group; a group's leaves are put in order, and where
-   neighbours part above full depth a new deep node begins. All leaves below a node of full depth are one repeat. Its first
-   document keeps it. Where a group was dealt to several parts, the firsts of the parts are compared once more.
+2. Partition. Each candidate window becomes a hash of its ``span`` words and is dealt out by its anchor: so the windows around one anchor
+   travel as one run. Where an anchor is so frequent that its group would outgrow ``group_rows``, it is dealt further by the document's text.
+3. Groups. A partition is sorted (spilling to disk) and read once, group by group; a group's windows are put in order of their hashes, and
+   equal hashes are one repeat (no common prefixes are formed, collisions are not checked). Its first document keeps it. Where a group was
+   dealt to several parts, the firsts of the parts are compared once more.
 4. Windows become stretches of words per document; overlapping stretches are the maximal repeats.
 
 A document is its id and the MD5 of its text (ord, node) throughout: ord alone decides which is earlier, and rows that have one id, or none,
@@ -123,7 +122,7 @@ def suffix_kernel(span: int, gram: int, group_rows: int):
 
 
 def _leaves(t: pa.Table) -> pa.RecordBatch:
-    """The subtrees of whole groups (runs of suffixes): stretches of repeated windows, and what other parts must confirm."""
+    """The repeats of whole groups (runs of windows): stretches of repeated windows, and what other parts must confirm."""
     t = t.combine_chunks()
     part, anchor, ords, pos, hot = (t.column(i).to_numpy() for i in (0, 1, 2, 4, 5))
     lists = t.column(6).chunk(0) if t.num_rows else pa.array([], pa.list_(pa.int64()))
@@ -131,9 +130,9 @@ def _leaves(t: pa.Table) -> pa.RecordBatch:
     label, row = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size)), size)
     group = np.cumsum(np.concatenate([[True], (np.diff(part) != 0) | (np.diff(anchor) != 0)]))[row]
     leaf = ords[row]
-    order = np.lexsort((leaf, label, group))  # the tree's leaves from left to right
+    order = np.lexsort((leaf, label, group))  # equal windows side by side
     g, l = group[order], label[order]
-    node = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (l[1:] != l[:-1])]))  # where neighbours part above full depth
+    node = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (l[1:] != l[:-1])]))  # where a new window begins
     first = np.empty(len(label), leaf.dtype)
     first[order] = np.repeat(leaf[order][node], np.diff(np.append(node, len(label))))
     sure = leaf > first
