@@ -6,8 +6,8 @@ code-switched text is labelled stretch by stretch. Forward-backward gives each w
 language is the label with the largest mean, and that mean is the score.
 
 Training: maximum conditional likelihood with an L2 penalty by full-batch adaptive gradient steps, on the driver, from a bounded sample: at most
-``per_label`` labelled documents of each of at most ``max_labels`` labels (the commonest), chosen by hash of the id, and at most ``sample_chars``
-characters of each, from a place given by the hash. Half of the training sequences splice two languages, which teaches the transitions what a switch
+``per_label`` labelled documents of each label, whatever the number of labels, chosen by hash of the id, and at most ``sample_chars``
+characters of each, from a place given by the hash. A step goes through the sequences in slices of bounded memory. Half of the training sequences splice two languages, which teaches the transitions what a switch
 costs. Prediction runs over all words of all texts, in Arrow batches, without a shuffle; long texts are cut into chunks whose
 transfer matrices are multiplied first, so that their distributions are exact.
 
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .kernels import _LOWER, U64, Words, slices, text_buffer
 
-PER_LABEL, MAX_LABELS, SAMPLE_CHARS = 150, 64, 2000
+PER_LABEL, SAMPLE_CHARS = 150, 2000
 _SEQUENCE, _STEPS, _L2, _RATE = 40, 60, 1e-4, 0.25
+#: Numbers (sequences times words times labels) that training works on at once.
+_CELLS = 1 << 21
 #: Distinct words whose scores a worker keeps; words of a chunk.
 _CACHE, _CHUNK = 600_000, 32
 _WORD = re.compile(r"[^\W\d_]+")
@@ -154,33 +156,22 @@ def train(samples: list[tuple[str, str]], steps: int = _STEPS) -> Crf:
     words, truth, valid = np.zeros((m, longest), np.int64), np.zeros((m, longest), np.int64), np.zeros((m, longest), bool)
     for i, (w, y) in enumerate(sequences):
         words[i, : len(w)], truth[i, : len(w)], valid[i, : len(w)] = [vocabulary[x] for x in w], y, True
-    onehot = np.eye(k)[truth]
     pairs = valid[:, 1:] & valid[:, :-1]
     seen_pairs = np.zeros((k, k))
     np.add.at(seen_pairs, (truth[:, :-1][pairs], truth[:, 1:][pairs]), 1)
     weights, step, start = np.zeros((len(index), k)), np.zeros((k, k)), np.zeros(k)
     state = [np.full(x.shape, 1e-8) for x in (weights, step, start)]
-    spread = lambda x, by, n: np.stack([np.bincount(by, x[:, j], n) for j in range(k)], 1)
     for _ in range(steps):
-        scores = spread(weights[feature], word_of, len(entries))[words]
-        e = np.exp(scores - scores.max(axis=2, keepdims=True)) * valid[:, :, None] + ~valid[:, :, None]
-        move = np.exp(step)
-        a, scale = np.empty((m, longest, k)), np.ones((m, longest))
-        for t in range(longest):
-            new = (np.exp(start) if t == 0 else a[:, t - 1] @ move) * e[:, t]
-            scale[:, t] = new.sum(axis=1)
-            a[:, t] = np.where(valid[:, t, None], new / scale[:, t, None], a[:, t - 1] if t else new)
-        b, expected, gamma = np.ones((m, k)), np.zeros((k, k)), np.empty((m, longest, k))
-        for t in range(longest - 1, -1, -1):
-            gamma[:, t] = a[:, t] * b
-            gamma[:, t] /= gamma[:, t].sum(axis=1, keepdims=True)
-            if t:
-                right = e[:, t] * b / scale[:, t, None]
-                live = valid[:, t]
-                expected += move * (a[:, t - 1][live].T @ right[live])
-                b = np.where(live[:, None], right @ move.T, b)
-        error = (onehot - gamma)[valid]
-        grads = [spread(spread(error, words[valid], len(entries))[word_of], feature, len(index)), seen_pairs - expected, (onehot - gamma)[:, 0].sum(axis=0)]
+        known = np.stack([np.bincount(word_of, weights[feature, j], len(entries)) for j in range(k)], 1)
+        wrong, expected, opening = np.zeros((len(entries), k)), np.zeros((k, k)), np.zeros(k)
+        rows = max(1, _CELLS // (longest * k))
+        for lo in range(0, m, rows):
+            part = slice(lo, lo + rows)
+            errors, moved, first = _errors(known, step, start, words[part], truth[part], valid[part])
+            wrong += errors
+            expected += moved
+            opening += first
+        grads = [np.stack([np.bincount(feature, wrong[word_of, j], len(index)) for j in range(k)], 1), seen_pairs - expected, opening]
         for x, g, s in zip((weights, step, start), grads, state):
             g = g / m - _L2 * x
             s += g * g
@@ -188,21 +179,46 @@ def train(samples: list[tuple[str, str]], steps: int = _STEPS) -> Crf:
     return Crf(labels, index, weights, step, start)
 
 
+def _errors(known: np.ndarray, step: np.ndarray, start: np.ndarray, words: np.ndarray, truth: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some sequences: the summed error of each word of the vocabulary, expected transitions, the summed error of first words."""
+    (m, longest), k = words.shape, known.shape[1]
+    scores = known[words]
+    e = np.exp(scores - scores.max(axis=2, keepdims=True)) * valid[:, :, None] + ~valid[:, :, None]
+    move = np.exp(step)
+    a, scale = np.empty((m, longest, k)), np.ones((m, longest))
+    for t in range(longest):
+        new = (np.exp(start) if t == 0 else a[:, t - 1] @ move) * e[:, t]
+        scale[:, t] = new.sum(axis=1)
+        a[:, t] = np.where(valid[:, t, None], new / scale[:, t, None], a[:, t - 1] if t else new)
+    b, expected, gamma = np.ones((m, k)), np.zeros((k, k)), np.empty((m, longest, k))
+    for t in range(longest - 1, -1, -1):
+        gamma[:, t] = a[:, t] * b
+        gamma[:, t] /= gamma[:, t].sum(axis=1, keepdims=True)
+        if t:
+            right = e[:, t] * b / scale[:, t, None]
+            live = valid[:, t]
+            expected += move * (a[:, t - 1][live].T @ right[live])
+            b = np.where(live[:, None], right @ move.T, b)
+    error = np.eye(k)[truth] - gamma
+    flat, of = error[valid], words[valid]
+    return np.stack([np.bincount(of, flat[:, j], len(known)) for j in range(k)], 1), expected, error[:, 0].sum(axis=0)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether CRC-32 of the id's text is 2 modulo 4; a null id reads as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = PER_LABEL, max_labels: int = MAX_LABELS, sample_chars: int = SAMPLE_CHARS) -> Crf:
-    """The field trained on rows that are not held out: per_label * max_labels samples of sample_chars at most reach the driver."""
+def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = PER_LABEL, sample_chars: int = SAMPLE_CHARS) -> Crf:
+    """The field trained on rows that are not held out: per_label samples of sample_chars of each label at most reach the driver."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    common = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = ids.join(F.broadcast(common.select("lang")), "lang").withColumn("nth", nth).where(F.col("nth") <= per_label).select("doc_id", "lang", "h").distinct()
+    chosen = ids.withColumn("nth", nth).where(F.col("nth") <= per_label).select("doc_id", "lang", "h").distinct()
     begin = F.pmod("h", F.greatest(F.lit(1), F.length("text") - sample_chars)).cast("int") + 1
     some = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", F.substring("text", begin, F.lit(sample_chars)).alias("text")).distinct()
-    return train(sorted((r.lang, r.text) for r in some.orderBy("lang", "text").limit(per_label * max_labels).collect()))
+    some = some.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("text"))).where(F.col("nth") <= per_label)  # ids can repeat
+    return train(sorted((r.lang, r.text) for r in some.collect()))
 
 
 _GAP = np.ones(256, bool)

@@ -64,3 +64,22 @@ def test_held_out_accuracy(spark):
     truth = {r.doc_id: r.lang for r in df.select("doc_id", "lang").collect()}
     got = [r for r in predict(df, learn(df)).collect() if r.held_out]
     assert len(got) > 150 and np.mean([r.lang_pred == truth[r.doc_id] for r in got]) > 0.98
+
+
+def test_every_label_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = lambda i: " ".join(letters[i // 26] + letters[i % 26] + x for x in ("qo", "wu", "ka"))
+    df = spark.createDataFrame([(100 * i + j, own(i), f"l{i:02d}") for i in range(70) for j in range(8)], "doc_id long, text string, lang string")
+    crf = learn(df)
+    assert len(crf.labels) == 70
+    assert all(r.lang_pred == f"l{r.doc_id // 100:02d}" for r in predict(df, crf).collect())
+
+
+def test_slices_do_not_change_training(monkeypatch):
+    from fourfold.llm import langid
+
+    samples = [("en", "the cat and the dog ran over this bridge"), ("de", "der hund und die katze liefen nicht"), ("fr", "le chat et le chien")] * 4
+    want = train(samples, steps=10)
+    monkeypatch.setattr(langid, "_CELLS", 100)
+    got = train(samples, steps=10)
+    assert np.allclose(got.weights, want.weights) and np.allclose(got.transitions, want.transitions) and np.allclose(got.start, want.start)
