@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fourfold.llm import decontaminate, langid, mixing, neardedup, sharding
-from fourfold.llm.common import cut, fresh, shared_dir
+from fourfold.llm.common import alnum_words, cut, fresh, shared_dir
 
 #: Rows of decisions (id and hash) that may be broadcast.
 BROADCAST_ROWS = 400_000
@@ -60,9 +60,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window with a benchmark item; all others go."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _keyed(docs, cut(found.where("n_hit > 0").select("doc", "text_hash").distinct()), "left_anti")
+    """Documents that share no whole window with a benchmark item and nothing with two items; all others go. Items shorter than a window
+    count as items only; the ids of items are marked by kind (w: a window or more, s: shorter)."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    kind = F.when(F.size(alnum_words(F.col("text"))) >= decontaminate.SPAN, F.lit("w")).otherwise(F.lit("s"))
+    bench = bench.select(F.concat(kind, F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("item_id"), "text")
+    found = decontaminate.decontaminate(docs, bench)
+    leaks = F.exists("items", lambda x: x.startswith("w")) | (F.size(F.array_distinct(F.transform("items", lambda x: F.substring(x, 2, 1 << 30)))) >= 2)
+    return _keyed(docs, cut(found.where(leaks).select("doc", "text_hash").distinct()), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

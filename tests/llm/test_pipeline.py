@@ -29,3 +29,12 @@ def test_stages(spark, tmp_path):
     assert max(ids["mixture"].values()) <= 3 and ids["shard"] == ids["mixture"]
     table = sharding.lookup_table([f"shard-{i}" for i in range(sharding.SHARDS)], sharding.SLOTS)
     assert all(r.shard == table[r.slot] for r in rows.select("slot", "shard").collect())
+
+
+def test_short_items_do_not_condemn_alone(spark, tmp_path):
+    eight = "one two three four five six seven eight"
+    items = [(1, "yes"), (2, "42"), (3, eight), (None, "maybe"), (2, "a b")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["yes it is", "the 42 and a b", "yes 42", f"x {eight} y", "nothing", eight[:-6], "maybe yes", "maybe", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipeline.decontamination(spark, docs, str(tmp_path)).collect()) == [0, 1, 4, 5, 7, 8]
