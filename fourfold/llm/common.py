@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates lower-cased alphanumeric words, and what separates blank-delimited words.
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Bytes of an Arrow batch on its way to a Python worker.
+ARROW_BYTES = 4 << 20
 BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -25,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def bounded_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
+    """From now on Arrow batches of the session hold ``most`` bytes at most (or one row): workers' memory does not depend on row sizes."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > most:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{most}b")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs nothing."""
     shared_dir(df.sparkSession)
