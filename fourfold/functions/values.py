@@ -129,11 +129,12 @@ def real_text(value: float | None) -> str | None:
 def text(x: Column, kind: str) -> Column:
     """Any value as text; reals go through an Arrow UDF because their rendering is not Spark's."""
     if kind == "real":
-        return _real_text_udf()(real(x))
+        return real_text_udf()(real(x))
     return x.cast("string")
 
 
-def _real_text_udf():
+def real_text_udf():
+    """``real_text`` over Arrow batches."""
     from pyspark.sql.functions import arrow_udf
 
     @arrow_udf("string")
@@ -156,15 +157,18 @@ def decimal_round(value: float | None, places: int | None) -> float | None:
 
 
 def round_(x: Column, places: Column | None = None) -> Column:
-    if places is None:
-        return F.round(real(x)).cast("double")
+    return F.round(real(x)).cast("double") if places is None else round_udf()(real(x), places.cast("long"))
+
+
+def round_udf():
+    """``decimal_round`` over Arrow batches."""
     from pyspark.sql.functions import arrow_udf
 
     @arrow_udf("double")
     def rounded(v: pa.Array, n: pa.Array) -> pa.Array:
         return pa.array([decimal_round(a, b) for a, b in zip(v.to_pylist(), n.to_pylist())], pa.float64())
 
-    return rounded(real(x), places.cast("long"))
+    return rounded
 
 
 def substr(x: Column, start: Column, length: Column | None = None) -> Column:

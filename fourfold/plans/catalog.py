@@ -274,7 +274,7 @@ def date_shift_overflow(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.date_format(V.shift_date(day, ["+1 month"]), "yyyy-MM-dd").alias("next"), F.date_format(V.shift_date(day, ["-45 days"]), "yyyy-MM-dd").alias("before"))
 
 
-@query()
+@query("SELECT p_partkey, CAST(p_retailprice AS VARCHAR) AS t FROM part")
 def real_text(spark, d):
     """Reals as text by the engine's own rule."""
     return table(spark, d, "part").select("p_partkey", V.text(F.col("p_retailprice"), "real").alias("t"))

@@ -380,6 +380,12 @@ class Database:
         m.seq = seq
         self._commit(m)
 
+    def write_cascade(self, gone: DataFrame) -> str:
+        """A delta of the links that go with deleted records (key, __seq): where it is."""
+        at, none = self._place("links"), F.lit(None).cast("string")
+        gone.select(F.col("key").alias("src"), none.alias("type"), none.alias("dst"), _SEQ, F.lit(True).alias(_DEL)).write.parquet(at)
+        return at
+
     def _without_table(self, snapshot: Snapshot, info: TableInfo, table: str) -> TableInfo:
         at = self._place("links")
         keep = ~F.col("src").startswith(f"{table}:") & ~F.col("dst").startswith(f"{table}:")
@@ -463,10 +469,34 @@ class Database:
         return self.snapshot().sql(text, args)
 
     def execute(self, text: str, args: Sequence[Any] = ()) -> int:
-        """Run INSERT, UPDATE or DELETE: how many records it changed. All or nothing."""
+        """Run INSERT, REPLACE, UPDATE or DELETE: how many records it changed, all or nothing. Also CREATE, DROP and ALTER TABLE, and VACUUM."""
+        from ..plans.changes import define
         from ..plans.sql import write
 
-        return self.update(lambda tx: write(tx, text, list(args)))
+        done = define(self, text)
+        return self.update(lambda tx: write(tx, text, list(args))) if done is None else done
+
+    def returning(self, text: str, args: Sequence[Any] = ()) -> DataFrame:
+        """Run a write statement: the columns of its RETURNING (the keys without one) for the records it changed."""
+        from ..plans.changes import change, returned
+
+        before = self.snapshot()
+        return returned(self, before, self.update(lambda tx: change(tx, text, list(args))))
+
+    def define(self, table: str, fields: list[tuple[str, str]], new: bool) -> None:
+        """An empty record table, or more fields of one; each field with the kind it will hold."""
+        check_table(table)
+        check_fields(dict.fromkeys(f for f, _ in fields if f.lower() != "vec"))
+        m = self.manifest()
+        if new == (table in m.tables):
+            raise InvalidError(f"there is a table {table!r} already" if new else f"there is no table {table!r}")
+        info = m.tables.setdefault(table, TableInfo())
+        for f, kind in fields:
+            if f.lower() in [x.lower() for x in info.fields]:
+                raise InvalidError(f"duplicate column name: {f}")
+            info.fields.append(f)
+            info.kinds[f] = "array<float>" if f == "vec" else kind
+        self._commit(m)
 
     # Bulk forms.
     def adopt(self, table: str, df: DataFrame, key: str | Column, *, vec: str | None = None) -> None:

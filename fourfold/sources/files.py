@@ -2,8 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
+from ..errors import FourfoldError
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the checkpoint folder of the session (spark.checkpoint.dir). Where it is unset, one of our
+    own on a single machine; on a cluster that is an error, since a machine's own folder is lost with it."""
+    sc = spark.sparkContext
+    at = sc._jsc.sc().getCheckpointDir()
+    if not at.isDefined():
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise FourfoldError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="fourfold-"))
+        at = sc._jsc.sc().getCheckpointDir()
+    return at.get()
+
 
 class Files:
     def __init__(self, spark: SparkSession, root: str):
