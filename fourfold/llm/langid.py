@@ -5,11 +5,18 @@ character bigrams and trigrams, and its entry in a lexicon of training words); l
 code-switched text is labelled stretch by stretch. Forward-backward gives each word's label distribution; a document's
 language is the label with the largest mean, and that mean is the score.
 
+Words are the same in training and prediction (``words_of``): runs of ASCII letters and non-ASCII characters, of which the letters count.
+
 Training: maximum conditional likelihood with an L2 penalty by full-batch adaptive gradient steps, on the driver, from a bounded sample: at most
-``per_label`` labelled documents of each label, whatever the number of labels, chosen by hash of the id, and at most ``sample_chars``
-characters of each, from a place given by the hash. A step goes through the sequences in slices of bounded memory. Half of the training sequences splice two languages, which teaches the transitions what a switch
-costs. Prediction runs over all words of all texts, in Arrow batches, without a shuffle; long texts are cut into chunks whose
-transfer matrices are multiplied first, so that their distributions are exact.
+``per_label`` labelled documents of each label, every label that training rows have, and about ``samples`` documents in all (where there are more
+labels than samples / per_label, fewer of each, one at least), chosen by hash of the id, and at most ``sample_chars`` characters of each, from a
+place given by the hash. The model has ``_CELLS_MODEL`` weights at most: beyond that, the commonest features. A step goes through the sequences in
+slices of bounded memory. Half of the training sequences splice two languages, which teaches the transitions what a switch
+costs. Prediction runs over all words of all texts, in Arrow batches, without a shuffle. Long texts are cut into chunks: with few labels the
+chunks' transfer matrices are multiplied first, with many the messages are passed from chunk to chunk; both are exact.
+
+Memory of a worker: an Arrow batch of bounded bytes (a longer text is a batch of its own), arrays over one slice of it, and a table of word scores
+of ``_CACHE_BYTES`` at most, which is grown in place and begun anew when it is full.
 
 Defined results: a null text and one without a letter get ``und`` and score 0. Labels are the non-null languages of training rows; without any
 every text is ``und``. Repeated rows get equal rows; other columns are not read.
@@ -27,18 +34,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import _LOWER, U64, Words, slices, text_buffer
+from .common import bounded_batches
+from .kernels import _LOWER, Words, slices, text_buffer
 
-PER_LABEL, SAMPLE_CHARS = 150, 2000
+PER_LABEL, SAMPLES, SAMPLE_CHARS = 150, 9600, 2000
 _SEQUENCE, _STEPS, _L2, _RATE = 40, 60, 1e-4, 0.25
 #: Numbers (sequences times words times labels) that training works on at once.
-_CELLS = 1 << 21
-#: Distinct words whose scores a worker keeps; words of a chunk.
-_CACHE, _CHUNK = 600_000, 32
-_WORD = re.compile(r"[^\W\d_]+")
+_CELLS, _CELLS_MODEL = 1 << 21, 1 << 25
+#: Bytes of word scores that a worker keeps (a word has some 160 besides them); words of a chunk; labels up to which transfer matrices pay.
+_CACHE_BYTES, _CHUNK, _FEW = 48 << 20, 32, 16
+#: Text bytes, times the labels over four, that prediction works on at once.
+_SLICE = 512 << 10
+_RUN, _LETTERS = re.compile(r"[A-Za-z\u0080-\U0010ffff]+"), re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
+def normal(run: str) -> str:
+    """The word that a run of ASCII letters and non-ASCII characters is: its letters, lower-cased; empty if it has none."""
+    return "".join(_LETTERS.findall(run.lower()))
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, as prediction sees them."""
+    return [w for run in _RUN.findall(text) if (w := normal(run))]
+
+
 def word_features(word: str) -> list[str]:
     """The feature names of a lower-cased word."""
     w, n = f"^{word}$", len(word)
@@ -97,24 +117,38 @@ class Crf:
             moved = np.where(opening[(slice(None),) + (None,) * (a.ndim - 1)], a, a @ step) if t == 0 else a @ step
             return moved * e[:, t].reshape(len(a), *(1,) * (a.ndim - 2), k)
 
-        total = np.broadcast_to(np.eye(k), (len(at), k, k))
-        for t in range(_CHUNK):
+        few = k <= _FEW
+        total = np.broadcast_to(np.eye(k), (len(at) if few else 0, k, k))
+        for t in range(_CHUNK if few else 0):
             new = forward(total, t)
             new /= new.max(axis=(1, 2), keepdims=True)
             total = np.where(valid[:, t, None, None], new, total)
         into, outof = np.empty((len(at), k)), np.empty((len(at), k))
+
+        def across(a, chunk, back):  # one row for each chunk: the message carried through it, word by word
+            if few:
+                return np.einsum("nij,nj->ni" if back else "ni,nij->nj", *((total[chunk], a) if back else (a, total[chunk])))
+            for t in range(_CHUNK - 1, -1, -1) if back else range(_CHUNK):
+                live = valid[chunk, t, None]
+                if back:
+                    new = e[chunk, t] * a
+                    new = np.where(opening[chunk, None] & (t == 0), new, new @ step.T)
+                else:
+                    new = np.where(opening[chunk, None] & (t == 0), a, a @ step) * e[chunk, t]
+                a = np.where(live, new / new.sum(axis=1, keepdims=True), a)
+            return a
         now, order = np.broadcast_to(start, (len(lengths), k)).copy(), np.argsort(-chunks, kind="stable")
         counts = np.searchsorted(-chunks[order], -np.arange(chunks.max()), "left")
         for c in range(chunks.max()):
             live = order[: counts[c]]
             into[first_chunk[live] + c] = now[live]
-            new = np.einsum("ni,nij->nj", now[live], total[first_chunk[live] + c])
+            new = across(now[live], first_chunk[live] + c, False)
             now[live] = new / new.sum(axis=1, keepdims=True)
         now = np.ones((len(lengths), k))
         for c in range(chunks.max() - 1, -1, -1):
             live = order[: counts[c]]
             outof[first_chunk[live] + c] = now[live]
-            new = np.einsum("nij,nj->ni", total[first_chunk[live] + c], now[live])
+            new = across(now[live], first_chunk[live] + c, True)
             now[live] = new / new.sum(axis=1, keepdims=True)
         ahead, a = np.empty((len(at), _CHUNK, k)), into
         for t in range(_CHUNK):
@@ -135,7 +169,7 @@ class Crf:
 def train(samples: list[tuple[str, str]], steps: int = _STEPS) -> Crf:
     """A field from (language, text) pairs."""
     labels = sorted({lang for lang, _ in samples})
-    pure = [(labels.index(lang), w) for lang, text in samples for words in [_WORD.findall(text.lower())] for i in range(0, len(words), _SEQUENCE) if len(w := words[i : i + _SEQUENCE]) > 1]
+    pure = [(labels.index(lang), w) for lang, text in samples for words in [words_of(text)] for i in range(0, len(words), _SEQUENCE) if (w := words[i : i + _SEQUENCE])]
     rng = np.random.default_rng(7)
     sequences = [(w, [y] * len(w)) for y, w in pure]
     if len(labels) > 1:
@@ -149,7 +183,9 @@ def train(samples: list[tuple[str, str]], steps: int = _STEPS) -> Crf:
     seen = Counter(x for w, _ in sequences for x in w)
     vocabulary = {x: i for i, x in enumerate(seen)}
     names = Counter(f for x in vocabulary for f in word_features(x))
-    index = {f: i for i, f in enumerate(sorted(f for f, c in names.items() if c > 1 or (f[0] == "w" and seen[f[1:]] > 2)))}
+    room = max(1, _CELLS_MODEL // len(labels))
+    kept = sorted((f for f, c in names.items() if c > 1 or f[0] == "w" and seen[f[1:]] > 2), key=lambda f: (-names[f], f))[:room]
+    index = {f: i for i, f in enumerate(sorted(kept))}
     entries = [[index[f] for f in word_features(x) if f in index] for x in vocabulary]
     word_of, feature = np.repeat(np.arange(len(entries)), [len(x) for x in entries]), np.array([f for x in entries for f in x], np.int64)
     k, longest, m = len(labels), max(len(w) for w, _ in sequences), len(sequences)
@@ -209,10 +245,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = PER_LABEL, sample_chars: int = SAMPLE_CHARS) -> Crf:
-    """The field trained on rows that are not held out: per_label samples of sample_chars of each label at most reach the driver."""
+def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = PER_LABEL, samples: int = SAMPLES, sample_chars: int = SAMPLE_CHARS) -> Crf:
+    """The field trained on rows that are not held out: samples of sample_chars, per_label of each label and ``samples`` in all at most (or one of each
+    label) reach the driver."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    labels = rows.select(F.count_distinct("lang")).first()[0]
+    per_label = max(1, min(per_label, samples // max(1, labels)))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = ids.withColumn("nth", nth).where(F.col("nth") <= per_label).select("doc_id", "lang", "h").distinct()
     begin = F.pmod("h", F.greatest(F.lit(1), F.length("text") - sample_chars)).cast("int") + 1
@@ -234,73 +273,69 @@ class _Letters(Words):
         super().__init__(blanked, offsets, False)
 
 
+def labelled(crf: Crf, batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
+    """Slices of the batches, with the language and score of each row's text (column number ``text``)."""
+    table, known, most = np.zeros((1024, len(crf.labels))), {}, _CACHE_BYTES // (160 + 8 * max(1, len(crf.labels)))
+
+    def rows_of(words: _Letters) -> np.ndarray:
+        """For each word the row of its scores, -1 without a letter."""
+        nonlocal table
+        hashes, at, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        if len(known) + len(keys) > most:
+            known.clear()
+        new = [i for i, h in enumerate(keys) if h not in known]
+        texts = [normal(words.data[words.start[at[i]] : words.end[at[i]]].tobytes().decode()) for i in new]
+        base = len(known)
+        if base + len(new) > len(table):
+            table.resize((max(base + len(new), min(2 * len(table), most)), table.shape[1]), refcheck=False)
+        table[base : base + len(new)] = crf.emissions(texts)
+        known.update((keys[i], base + n if t else -1) for n, (i, t) in enumerate(zip(new, texts)))
+        return np.array([known[h] for h in keys], np.int64)[which] if keys else np.zeros(0, np.int64)
+
+    for batch in batches:
+        data, offsets = text_buffer(batch.column(text))
+        for lo, hi in slices(offsets, max(1, _SLICE * 4 // max(4, len(crf.labels)))):
+            words = _Letters(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            row = rows_of(words)
+            some, owner = row >= 0, words.row[row >= 0]
+            count = np.bincount(owner, minlength=hi - lo)
+            mass = np.zeros((hi - lo, max(1, len(crf.labels))))
+            if some.any() and crf.labels:
+                post = crf.posteriors(table[row[some]], count)
+                mass = np.stack([np.bincount(owner, post[:, j], hi - lo) for j in range(len(crf.labels))], 1)
+            best = mass.argmax(axis=1)
+            score = np.clip(mass[np.arange(hi - lo), best] / np.maximum(count, 1), 0.0, 1.0)
+            yield batch.slice(lo, hi - lo), [crf.labels[b] if n and crf.labels else UNKNOWN for b, n in zip(best, count)], score
+
+
 def labeller(crf: Crf):
     """(doc_id, held_out, text) to doc_id, held_out, lang_pred, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, int] = {}
-        table = np.zeros((0, len(crf.labels)))
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(2))
-            for lo, hi in slices(offsets):
-                words = _Letters(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                hashes, at, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-                if len(known) > _CACHE:
-                    known, table = {}, table[:0]
-                keys = hashes.tolist()
-                new = [i for i, h in enumerate(keys) if h not in known]
-                texts = [words.data[words.start[at[i]] : words.end[at[i]]].tobytes().decode().lower() for i in new]
-                good = [any(c.isalpha() for c in t) for t in texts]
-                fresh = [t for t, ok in zip(texts, good) if ok]
-                base = len(table)
-                table = np.concatenate([table, crf.emissions(fresh)])
-                for i, ok in zip(new, good):
-                    known[keys[i]] = base if ok else -1
-                    base += ok
-                row = np.array([known[h] for h in keys], np.int64)[which] if len(keys) else np.zeros(0, np.int64)
-                some, owner = row >= 0, words.row[row >= 0]
-                count = np.bincount(owner, minlength=hi - lo)
-                mass = np.zeros((hi - lo, max(1, len(crf.labels))))
-                if some.any() and crf.labels:
-                    post = crf.posteriors(table[row[some]], count)
-                    mass = np.stack([np.bincount(owner, post[:, j], hi - lo) for j in range(len(crf.labels))], 1)
-                best = mass.argmax(axis=1)
-                score = np.clip(mass[np.arange(hi - lo), best] / np.maximum(count, 1), 0.0, 1.0)
-                pred = [crf.labels[b] if n and crf.labels else UNKNOWN for b, n in zip(best, count)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+        for part, pred, score in labelled(crf, batches, 2):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
 
 def predict(docs: DataFrame, crf: Crf, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(labeller(crf), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
-def filterer(crf: Crf, least: float):
-    """Rows whose last column is the text to those with a language and a score of at least ``least``, without that column."""
+def filterer(crf: Crf, text: int, least: float):
+    """The rows with a language and a score of at least ``least``, slice by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def feed():
-            for batch in batches:
-                if batch.num_rows:
-                    held.append(batch)
-                    none = pa.nulls(batch.num_rows)
-                    yield pa.RecordBatch.from_arrays([none, none, batch.column(batch.num_columns - 1)], ["doc_id", "held_out", "text"])
-
-        mask: list[bool] = []
-        for out in labeller(crf)(feed()):
-            mask += [p != UNKNOWN and s >= least for p, s in zip(out.column(2).to_pylist(), out.column(3).to_pylist())]
-            if len(mask) == held[0].num_rows:
-                batch = held.pop(0)
-                yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(mask, pa.bool_()))
-                mask = []
+        for part, pred, score in labelled(crf, batches, text):
+            yield part.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(pred, score)], pa.bool_()))
 
     return run
 
 
 def keep_identified(docs: DataFrame, crf: Crf, *, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is told with a score of at least ``least``; nothing is shuffled."""
-    return docs.select("*", F.col(text).alias("_text_")).mapInArrow(filterer(crf, least), docs.schema)
+    """The rows of ``docs`` whose language is told with a score of at least ``least``; nothing is shuffled, the text is sent once."""
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(filterer(crf, docs.columns.index(text), least), docs.schema)

@@ -3,9 +3,11 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from fourfold.llm.langid import Crf, learn, predict, train
+from fourfold.llm import langid
+from fourfold.llm.langid import Crf, keep_identified, labelled, learn, predict, train, words_of
 
 
 def test_posteriors_match_enumeration():
@@ -25,15 +27,15 @@ def test_posteriors_match_enumeration():
 
 
 def test_chunks_do_not_change_posteriors(monkeypatch):
-    from fourfold.llm import langid
-
     rng = np.random.default_rng(1)
     crf = Crf(["a", "b"], {}, np.zeros((0, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
     scores, lengths = rng.normal(size=(1000, 2)) * 3, np.array([1, 700, 0, 64, 235])
     want = crf.posteriors(scores, lengths)
     for size in (1, 7, 2000):
         monkeypatch.setattr(langid, "_CHUNK", size)
-        assert np.allclose(crf.posteriors(scores, lengths), want)
+        for few in (0, 16):  # messages passed from chunk to chunk, transfer matrices
+            monkeypatch.setattr(langid, "_FEW", few)
+            assert np.allclose(crf.posteriors(scores, lengths), want)
 
 
 def test_code_switching_is_followed():
@@ -76,10 +78,38 @@ def test_every_label_is_learned(spark):
 
 
 def test_slices_do_not_change_training(monkeypatch):
-    from fourfold.llm import langid
-
     samples = [("en", "the cat and the dog ran over this bridge"), ("de", "der hund und die katze liefen nicht"), ("fr", "le chat et le chien")] * 4
     want = train(samples, steps=10)
     monkeypatch.setattr(langid, "_CELLS", 100)
     got = train(samples, steps=10)
     assert np.allclose(got.weights, want.weights) and np.allclose(got.transitions, want.transitions) and np.allclose(got.start, want.start)
+
+
+def test_training_and_prediction_split_alike(spark):
+    """Quotes and dashes beside letters change no word; a language of one-word texts is learned; clashing names are carried."""
+    assert words_of("“The—cat’s” 12a_b é́ …") == ["thecats", "a", "b", "é"]
+    rows = [(i, ("salve", "the cat ran")[i % 2], ("la", "en")[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    crf = learn(df)
+    ask = spark.createDataFrame([(1, "“Salve”", 2, 3), (2, "the—cat!", 4, 5), (3, "—", 6, 7), (4, None, 8, 9)], "doc_id long, text string, lang_pred int, held_out int")
+    assert [r.lang_pred for r in predict(ask, crf).orderBy("doc_id").collect()][0::2] == ["la", "und"]
+    kept = keep_identified(ask, crf, least=0.5)
+    assert kept.columns == ask.columns and {tuple(r) for r in kept.collect()} >= {(1, "“Salve”", 2, 3)} and all(r.doc_id < 3 for r in kept.collect())
+
+
+def test_small_word_table_changes_nothing(spark, monkeypatch):
+    en, de = "the cat and the dog ran over", "der hund und die katze lief"
+    crf = train([("en", en)] * 5 + [("de", de)] * 5)
+    texts = pa.array([f"{(en, de)[i % 2]} x{'abcdefghij'[i % 10] * (i % 7)}" for i in range(300)] + [None, ""])
+    batch = pa.RecordBatch.from_arrays([texts], ["t"])
+    want = [(p, s.round(9).tolist()) for _, p, s in labelled(crf, iter([batch]), 0)]
+    monkeypatch.setattr(langid, "_CACHE_BYTES", 160 * 8)
+    monkeypatch.setattr(langid, "_SLICE", 200)
+    got = [(p, s.round(9).tolist()) for _, p, s in labelled(crf, iter([batch]), 0)]
+    assert len(got) > 10 and [sum(x, []) for x in zip(*got)] == [sum(x, []) for x in zip(*want)]
+
+
+def test_ties_take_the_first_label(spark):
+    crf = Crf(["a", "b"], {}, np.zeros((0, 2)), np.zeros((2, 2)), np.zeros(2))
+    df = spark.createDataFrame([(1, "x y z")], "doc_id long, text string")
+    assert [(r.lang_pred, r.score) for r in predict(df, crf).collect()] == [("a", 0.5)]
