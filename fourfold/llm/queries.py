@@ -70,11 +70,13 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-OP4_SQL = """
+_BLOCK = "CASE " + " ".join(f"WHEN target >= {_mixing.FINENESS << k} THEN {1 << k}" for k in range(_mixing.BLOCK.bit_length() - 1, 0, -1)) + " ELSE 1 END"
+OP4_SQL = f"""
 WITH z AS (
   SELECT row_number() OVER () AS rid, doc_id, source,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h,
+         CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS tie
   FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM s0),
@@ -83,22 +85,22 @@ s3 AS (SELECT *, CAST(3 * source_size AS DOUBLE) / weight AS ratio, (SELECT sum(
 s4 AS (SELECT *, CAST(everything - coalesce(sum(3 * source_size) OVER (ORDER BY ratio, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
               / CAST(sum(weight) OVER (ORDER BY ratio, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM s3),
 lv AS (SELECT level FROM s4 WHERE level <= ratio ORDER BY ratio, sid LIMIT 1),
-src AS (SELECT sid, source, source_size, least(weight * (SELECT level FROM lv), CAST(3 * source_size AS DOUBLE)) AS target, everything FROM s4),
-bl AS (SELECT greatest(1, CAST(ceil(max(everything) / 67108864.0) AS BIGINT),
-              least(1024, CAST(floor(coalesce(min(target) FILTER (target > 0), 1) / 256) AS BIGINT))) AS block, max(everything) AS everything FROM src),
-st AS (SELECT sid, CAST(sum(CAST(round(target) AS BIGINT)) OVER (ORDER BY sid) AS BIGINT) AS hi, CAST(round(target) AS BIGINT) AS share FROM src),
-tot AS (SELECT sum(share) AS total FROM st),
-pt AS (SELECT t, (t + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE AS v FROM (SELECT unnest(range(CAST(greatest(1, round_even(everything / CAST(block AS DOUBLE), 0)) AS BIGINT))) AS t FROM bl)),
-au AS (SELECT t, least(floor((v - floor(v)) * CAST(total AS DOUBLE)), total - 1) AS a FROM pt, tot),
-sl AS (SELECT t, sid FROM au JOIN st ON a >= st.hi - st.share AND a < st.hi),
+s5 AS (SELECT sid, source, source_size, least(weight * (SELECT level FROM lv), CAST(3 * source_size AS DOUBLE)) AS target FROM s4),
+src AS (SELECT *, CAST({_BLOCK} AS BIGINT) AS block FROM s5),
+st AS (SELECT sid, block, CAST(sum(CAST(round(target) AS BIGINT)) OVER (PARTITION BY block ORDER BY sid) AS BIGINT) AS hi, CAST(round(target) AS BIGINT) AS share FROM src WHERE round(target) > 0),
+c0 AS (SELECT block, CAST(sum(share) AS BIGINT) AS total, CAST(greatest(1, (sum(share) + block // 2) // block) AS BIGINT) AS n FROM st GROUP BY block),
+c1 AS (SELECT *, CAST(greatest(1, floor(n * {_mixing.PHI}::DOUBLE)) AS BIGINT) AS near FROM c0),
+c2 AS (SELECT block, total, n, min(k) AS s FROM (SELECT *, unnest(range(near, near + 2000)) AS k FROM c1) WHERE gcd(k, n) = 1 GROUP BY ALL),
+pt AS (SELECT *, unnest(range(n)) AS t FROM c2),
+au AS (SELECT block, t, CAST(((CAST(t AS HUGEINT) * s % n) * total + total // 2) // n AS BIGINT) AS a FROM pt),
+sl AS (SELECT t, sid FROM au JOIN st ON au.block = st.block AND a >= st.hi - st.share AND a < st.hi),
 rk AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY t) - 1 AS rank FROM sl),
-nb AS (SELECT sid, CAST(ceil(source_size / CAST(block AS DOUBLE)) AS BIGINT) AS blocks FROM src, bl WHERE source_size > 0),
-tn AS (SELECT sid, rank % blocks AS block, count(*) AS times FROM rk JOIN nb USING (sid) WHERE rank < 3 * blocks GROUP BY ALL),
-ld AS (SELECT z.*, sid, source_size, target, sum(size) OVER (PARTITION BY sid ORDER BY h, doc_id, size, rid ROWS UNBOUNDED PRECEDING) AS e
+nb AS (SELECT sid, CAST(ceil(source_size / CAST(block AS DOUBLE)) AS BIGINT) AS blocks FROM src WHERE source_size > 0),
+tn AS (SELECT sid, rank % blocks AS nth, count(*) AS times FROM rk JOIN nb USING (sid) WHERE rank < 3 * blocks GROUP BY ALL),
+ld AS (SELECT z.*, sid, source_size, target, block AS b, sum(size) OVER (PARTITION BY sid ORDER BY h, doc_id, size, tie, rid ROWS UNBOUNDED PRECEDING) AS e
        FROM z JOIN src ON z.source IS NOT DISTINCT FROM src.source),
-pc AS (SELECT rid, sid, e - size AS s, e, unnest(range(CAST(floor((e - size) / CAST(bl.block AS DOUBLE)) AS BIGINT), CAST(floor((e - 1) / CAST(bl.block AS DOUBLE)) AS BIGINT) + 1)) AS block, bl.block AS b
-       FROM ld, bl WHERE size > 0),
-tk AS (SELECT rid, sum((least(e, (pc.block + 1) * b) - greatest(s, pc.block * b)) * times) AS taken FROM pc JOIN tn USING (sid, block) GROUP BY rid)
+pc AS (SELECT rid, sid, e - size AS s, e, b, unnest(range(CAST((e - size) // b AS BIGINT), CAST((e - 1) // b AS BIGINT) + 1)) AS nth FROM ld WHERE size > 0),
+tk AS (SELECT rid, sum((least(e, (pc.nth + 1) * b) - greatest(s, pc.nth * b)) * times) AS taken FROM pc JOIN tn USING (sid, nth) GROUP BY rid)
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM ld LEFT JOIN tk USING (rid)
 """
 

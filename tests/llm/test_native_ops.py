@@ -102,6 +102,32 @@ def test_mix(spark):
     assert mix(df.limit(0)).count() == 0
 
 
+def test_small_sources_beside_large_ones_come_near_their_targets(spark):
+    """Sources from 7 words to 4 million, among them one of 90 words and 400 of one document each."""
+    docs = [(i, "w " * 40_000, "huge") for i in range(100)] + [(1000 + i, "w " * 30, "ninety") for i in range(3)] + [(2000, "a b c d e f g", None)]
+    docs += [(3000 + i, "x " * (5 + 3 * i), f"host{i:03d}") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    got = mix(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source", "target", "source_size").agg(F.sum("taken").alias("taken")).collect()
+    assert len(got) == 403
+    for r in got:
+        assert abs(r.taken - r.target) <= max(1, 0.02 * r.target) and r.taken <= 3 * r.source_size, r
+
+
+def test_equal_ids_with_unlike_texts_do_not_depend_on_partitions(spark):
+    docs = [(1, f"{c} " * 200, "s") for c in "abcdefgh"] + [(2, "z " * 5000, "t")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    seen = {str(sorted((r.doc_id, r.text_hash, r.taken) for r in mix(df.repartition(n)).collect())) for n in (1, 3, 7)}
+    assert len(seen) == 1
+
+
+def test_lattice_meets_every_point():
+    from fourfold.llm.mixing import lattice
+
+    for n in (*range(1, 200), 6765, 30030, 1 << 20):
+        s = lattice(n)
+        assert math.gcd(s, n) == 1 and (n < 50 or abs(s / n - 0.618034) < 0.1)
+
+
 # Sharding.
 def test_lookup_table():
     names = [f"n{i}" for i in range(7)]
