@@ -2,31 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch
+
 #: ASCII letters that contracts lower-case; other letters stay as they are.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates lower-cased alphanumeric words, and what separates blank-delimited words.
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bytes of an Arrow batch on its way to a Python worker.
 ARROW_BYTES = 4 << 20
+ALNUM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    at = sc._jsc.sc().getCheckpointDir()
-    if at.isDefined():
-        return at.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fourfold-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def bounded_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
     """From now on Arrow batches of the session hold ``most`` bytes at most (or one row): workers' memory does not depend on row sizes."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > most:
@@ -35,7 +27,7 @@ def bounded_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs nothing."""
-    shared_dir(df.sparkSession)
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -29,7 +29,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from ..sources.files import scratch
+from .common import cut
 
 REVISIT_BYTES = 1000
 #: Uncompressed bytes after which the writer starts another file; a record is never split.
@@ -225,7 +226,7 @@ def read_archives(manifest: DataFrame, root: str) -> DataFrame:
 def round_trip(spark: SparkSession, pages: DataFrame, *, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Pages written, normalised and read back; page_id and refers_to have the type they had."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    root = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    root = f"{scratch(spark)}/warc-{uuid.uuid4().hex}"
     written = write_monolithic(typed(pages, revisit_bytes=revisit_bytes), f"{root}/monolithic", archive_bytes=archive_bytes)
     normal = normalise(written, f"{root}/members")
     fs, at = _store(f"{root}/monolithic")
