@@ -36,7 +36,7 @@ from .kernels import U64, Words, gram_hashes, mix64, slices, text_buffer
 
 SPAN, GRAM, BAND = 50, 10, 8
 #: Runs that a group should hold at most; bytes that may be broadcast; suffixes of a run at most.
-GROUP_ROWS, BROADCAST_BYTES, _RUN = 2_000, 32 << 20, 64
+GROUP_ROWS, BROADCAST_BYTES, _RUN = 500, 32 << 20, 64
 
 
 def window_anchors(words: Words, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
