@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fourfold.llm import decontaminate, langid, mixing, neardedup, sharding
-from fourfold.llm.common import alnum_words, cut, fresh, shared_dir
+from fourfold.llm.common import alnum_words, cut, fresh
+from fourfold.sources.files import scratch
 
 #: Rows of decisions (id and hash) that may be broadcast.
 BROADCAST_ROWS = 400_000
@@ -93,7 +94,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; what lies between them is kept in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    at = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}-{name}")
         docs = spark.read.parquet(f"{at}/{i}-{name}")

@@ -75,8 +75,8 @@ def distance(a: Column, b: Column) -> Column:
     return F.when(size, value)
 
 
-def distance_to(vec: Column, query: Sequence[float]) -> Column:
-    """Distance to one constant vector, an Arrow batch at a time; rows of another size are null."""
+def distance_to(vec: Column, query: Sequence[float], norms: Column | None = None) -> Column:
+    """Distance to one constant vector, an Arrow batch at a time; rows of another size are null. ``norms`` are the vectors' own, if they are stored."""
     from pyspark.sql.functions import arrow_udf
 
     q = np.asarray(query, np.float64)
@@ -87,21 +87,31 @@ def distance_to(vec: Column, query: Sequence[float]) -> Column:
         sizes = pa.compute.list_value_length(v).fill_null(0).to_numpy(zero_copy_only=False)
         good = sizes == len(unit)
         m = v.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(unit))
-        lengths = np.sqrt(np.einsum("ij,ij->i", m, m))
-        out = np.full(len(v), np.nan)
-        out[good] = np.where(lengths > 0, np.clip(1.0 - (m @ unit) / np.where(lengths > 0, lengths, 1.0), 0.0, 2.0), 1.0)
+        return finish(len(v), good, m, np.sqrt(np.einsum("ij,ij->i", m, m)))
+
+    @arrow_udf("double")
+    def measure_with(v: pa.Array, n: pa.Array) -> pa.Array:
+        sizes = pa.compute.list_value_length(v).fill_null(0).to_numpy(zero_copy_only=False)
+        good = sizes == len(unit)
+        m = v.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(unit))
+        return finish(len(v), good, m, n.to_numpy(zero_copy_only=False)[good])
+
+    def finish(rows: int, good: np.ndarray, m: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        out = np.full(rows, np.nan)
+        out[good] = np.where(lengths > 0, np.clip(1.0 - np.dot(m.astype(np.float64, copy=False), unit) / np.where(lengths > 0, lengths, 1.0), 0.0, 2.0), 1.0)
         return pa.array(out, mask=np.isnan(out))
 
-    return measure(vec)
+    return measure(vec) if norms is None else measure_with(vec, norms)
 
 
-def nearest(table: DataFrame, query: Sequence[float], k: int, where: Column | str | None = None, *, key: str = "key", vec: str = "vec") -> DataFrame:
-    """The k records nearest to ``query``: (key, distance), ties by key. The filter runs before any distance; top-k per partition, then merged."""
+def nearest(table: DataFrame, query: Sequence[float], k: int, where: Column | str | None = None, *, key: str = "key", vec: str = "vec", norms: str | None = None) -> DataFrame:
+    """The k records nearest to ``query``: (key, distance), ties by key. The filter runs before any distance; top-k per partition, then merged.
+    ``norms`` names a column with the vectors' lengths, worked out once when they were stored."""
     q = check_vector(query)
     if not 1 <= k <= MAX_K:
         raise InvalidError(f"k must be from 1 to {MAX_K}")
     rows = table if where is None else table.where(where)
-    rows = rows.where(F.col(vec).isNotNull()).select(F.col(key).alias("key"), distance_to(F.col(vec), q).alias("distance"))
+    rows = rows.where(F.col(vec).isNotNull()).select(F.col(key).alias("key"), distance_to(F.col(vec), q, F.col(norms) if norms else None).alias("distance"))
     return rows.where(F.col("distance").isNotNull()).orderBy("distance", "key").limit(k)
 
 

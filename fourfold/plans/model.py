@@ -26,7 +26,8 @@ def records(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
-    """Links (src, type, dst) from foreign keys, and two made by rule so that walks reach documents; only the named types are read."""
+    """Links (src, type, dst) from foreign keys, and two made by rule so that walks reach documents; only the named types are read. A link comes
+    as often as its foreign keys do; walks and neighbours make it one."""
     t = lambda name: table(spark, sf_dir, name)
     n_docs = lambda: t("documents").count()
 
@@ -35,8 +36,8 @@ def links(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
 
     make = {
         "placed": lambda: edge(t("orders"), key_of("customer", "o_custkey"), "placed", key_of("orders", "o_orderkey")),
-        "contains": lambda: edge(t("lineitem"), key_of("orders", "l_orderkey"), "contains", key_of("part", "l_partkey")).distinct(),
-        "suppliedby": lambda: edge(t("lineitem"), key_of("part", "l_partkey"), "suppliedby", key_of("supplier", "l_suppkey")).distinct(),
+        "contains": lambda: edge(t("lineitem"), key_of("orders", "l_orderkey"), "contains", key_of("part", "l_partkey")),
+        "suppliedby": lambda: edge(t("lineitem"), key_of("part", "l_partkey"), "suppliedby", key_of("supplier", "l_suppkey")),
         "in": lambda: edge(t("customer"), key_of("customer", "c_custkey"), "in", key_of("nation", "c_nationkey")).unionAll(edge(t("nation"), key_of("nation", "n_nationkey"), "in", key_of("region", "n_regionkey"))),
         "reads": lambda: edge(t("customer"), key_of("customer", "c_custkey"), "reads", key_of("documents", F.col("c_custkey") % n_docs())),
         "cites": lambda: edge(t("documents"), key_of("documents", "doc_id"), "cites", key_of("documents", (F.col("doc_id") * 7 + 1) % n_docs())),

@@ -25,7 +25,7 @@ from ..operators.rules import check_fields, check_table, check_type, table_of, v
 from .files import Files
 
 FORMAT = 1
-_SEQ, _DEL, _SET = "__seq", "__del", "__set"
+_SEQ, _DEL, _SET, _NORM = "__seq", "__del", "__set", "__norm"
 LINK_SCHEMA = "src string, type string, dst string"
 
 
@@ -39,6 +39,9 @@ class TableInfo:
     kinds: dict[str, str] = field(default_factory=dict)
     dims: int | None = None
     adopted: bool = False
+    #: Of links: a copy of the base in the order of dst. Of a table with vectors: whether the base has their norms.
+    reverse: str | None = None
+    normed: bool = False
 
 
 @dataclass
@@ -96,9 +99,10 @@ class Snapshot:
         old = base.withColumns({_SEQ: F.lit(0).cast("long"), _DEL: F.lit(False), _SET: F.array(*map(F.lit, info.fields)).cast("array<string>")})
         return fold(old.unionByName(changes), info.fields).select("key", *info.fields)
 
-    def links(self) -> DataFrame:
+    def links(self, by: str = "src") -> DataFrame:
+        """All links; read from the copy in the order of src or dst, if there is one."""
         info = self.manifest.links
-        base = self.spark.read.schema(LINK_SCHEMA).parquet(info.base) if info.base else self.spark.createDataFrame([], LINK_SCHEMA)
+        base = self.spark.read.schema(LINK_SCHEMA).parquet(info.reverse if by == "dst" and info.reverse else info.base) if info.base else self.spark.createDataFrame([], LINK_SCHEMA)
         if not info.deltas:
             return base
         changes = self.spark.read.schema(f"{LINK_SCHEMA}, {_SEQ} long, {_DEL} boolean").parquet(*info.deltas)
@@ -135,14 +139,18 @@ class Snapshot:
 
     def neighbours(self, key: str, direction: str = "out", type_: str | None = None) -> list[tuple[str, str, str]]:
         self.get(key)
-        return [tuple(r) for r in graph.neighbours(self.links(), key, direction, type_).collect()]
+        return [tuple(r) for r in graph.neighbours(self.links(), key, direction, type_, self.links("dst")).collect()]
 
     def walk(self, start: str, depth: int, type_: str | None = None, direction: str | None = "out") -> DataFrame:
         graph.direction_of(direction)
         if not 1 <= depth <= graph.MAX_DEPTH:
             raise InvalidError(f"a walk's depth is from 1 to {graph.MAX_DEPTH}")
         self.get(start)
-        return graph.walk(self.links(), start, depth, type_, direction).orderBy("depth", "key")
+        return self.walked(start, depth, type_, direction).orderBy("depth", "key")
+
+    def walked(self, start: str, depth: int, type_: str | None = None, direction: str | None = "out") -> DataFrame:
+        """The rows of a walk, in no order; a start that is not there reaches nothing."""
+        return graph.walk(self.links(), start, depth, type_, direction, self.links("dst"))
 
     def nearest(self, table: str, query: Sequence[float] | str, k: int, where: Column | str | None = None) -> DataFrame:
         """The k nearest records; ``query`` is a vector or the key of a record that has one."""
@@ -157,6 +165,9 @@ class Snapshot:
             return self.spark.createDataFrame([], "key string, distance double")
         if len(q) != info.dims:
             raise InvalidError(f"the query has {len(q)} values, the table's vectors {info.dims}")
+        if info.normed and not info.deltas:
+            rows = self.spark.read.schema(f"{self._schema(info)}, {_NORM} double").parquet(info.base)
+            return vectors.nearest(rows, q, k, where, norms=_NORM)
         return vectors.nearest(self.table(table), q, k, where)
 
     def sql(self, text: str, args: Sequence[Any] = ()) -> DataFrame:
@@ -174,20 +185,62 @@ def fold(changes: DataFrame, fields: list[str]) -> DataFrame:
 
 
 class Transaction:
-    """Staged changes over one snapshot; reads see them. Marks undo what came after."""
+    """Staged changes over one snapshot; reads see them. Marks undo what came after. What is staged is found by key, so that a put costs the same
+    whatever was staged before; that the ends of links are stored is checked once, at the commit."""
 
     def __init__(self, snapshot: Snapshot):
         self.base = snapshot
         self.ops: list[tuple] = []
+        self._reset()
+
+    def _reset(self) -> None:
+        self._by_key: dict[str, list[tuple]] = {}
+        self._dropped: set[str] = set()
+        self._fields: dict[str, tuple[dict[str, str], int | None]] = {}
+        self._bulk = False
+        self._seen = 0
+
+    def _index(self) -> None:
+        """Take in what was staged since the last look."""
+        for op in self.ops[self._seen :]:
+            if op[0] in ("put", "delete"):
+                self._by_key.setdefault(op[1], []).append(op)
+            if op[0] == "put":
+                names, dims = self._table_state(table_of(op[1]))
+                for f, v in op[2].items():
+                    names.setdefault(f.lower(), f)
+                    if f == "vec" and v is not None and dims is None:
+                        dims = len(v)
+                self._fields[table_of(op[1])] = names, dims
+            elif op[0] == "drop":
+                self._dropped.add(op[1])
+                self._fields[op[1]] = {}, None
+                for key in [k for k in self._by_key if table_of(k) == op[1]]:
+                    del self._by_key[key]
+            self._bulk |= op[0] == "bulk"
+        self._seen = len(self.ops)
+
+    def _table_state(self, table: str) -> tuple[dict[str, str], int | None]:
+        """Fields by lower-cased name, and the vector size, with staged puts counted in."""
+        if table not in self._fields:
+            info = self.base.manifest.tables.get(table)
+            self._fields[table] = ({f.lower(): f for f in info.fields}, info.dims) if info else ({}, None)
+        return self._fields[table]
 
     def mark(self) -> int:
         return len(self.ops)
 
     def rollback_to(self, mark: int) -> None:
         del self.ops[mark:]
+        self._reset()
+
+    def _about(self, key: str) -> list[tuple]:
+        self._index()
+        if self._bulk:
+            raise FourfoldError("a write statement's records are seen once it is committed")
+        return ([("drop",)] if table_of(key) in self._dropped else []) + self._by_key.get(key, [])
 
     def get(self, key: str) -> dict[str, Any]:
-        table_of(key)
         found: dict[str, Any] | None = None
         loaded = False
         for op in self._about(key):
@@ -204,12 +257,6 @@ class Transaction:
             raise NotFoundError(f"there is no record {key!r}")
         return found
 
-    def _about(self, key: str):
-        table = table_of(key)
-        if any(op[0] == "bulk" for op in self.ops):
-            raise FourfoldError("a write statement's records are seen once it is committed")
-        return [op for op in self.ops if op[0] in ("put", "delete") and op[1] == key or op[0] == "drop" and op[1] == table]
-
     def _stored(self, key: str) -> dict[str, Any] | None:
         try:
             return self.base.get(key)
@@ -220,25 +267,11 @@ class Transaction:
         about = self._about(key)
         return about[-1][0] == "put" if about else self._stored(key) is not None
 
-    def _table_state(self, table: str) -> tuple[dict[str, str], int | None]:
-        """Fields by lower-cased name, and the vector size, with staged puts counted in."""
-        info = self.base.manifest.tables.get(table)
-        names = {f.lower(): f for f in info.fields} if info else {}
-        dims = info.dims if info else None
-        for op in self.ops:
-            if op[0] == "drop" and op[1] == table:
-                names, dims = {}, None
-            elif op[0] == "put" and table_of(op[1]) == table:
-                for f, v in op[2].items():
-                    names.setdefault(f.lower(), f)
-                    if f == "vec" and v is not None and dims is None:
-                        dims = len(v)
-        return names, dims
-
     def put(self, key: str, fields: Mapping[str, Any]) -> None:
         """Given fields replace, others stay, None clears; the table and new fields appear."""
         table = table_of(key)
         checked = check_fields(fields)
+        self._index()
         names, dims = self._table_state(table)
         checked = {names.get(f.lower(), f): v for f, v in checked.items()}
         if checked.get("vec") is not None and dims is not None:
@@ -258,13 +291,27 @@ class Transaction:
         self.ops.append(("drop", table))
 
     def link(self, src: str, type_: str, dst: str) -> None:
-        """Add a link; a second time changes nothing. Both ends must exist."""
+        """Add a link; a second time changes nothing. Both ends must exist: those that are not staged are looked up together at the commit."""
         check_type(type_)
         for key in (src, dst):
-            table_of(key)
-            if not self.exists(key):
+            about = self._about(key)
+            if about and about[-1][0] != "put" or not about and not self.base.has(table_of(key)):
                 raise NotFoundError(f"there is no record {key!r}")
-        self.ops.append(("link", src, type_, dst))
+        self.ops.append(("link", src, type_, dst, tuple(k for k in (src, dst) if not self._about(k))))
+
+    def check_ends(self) -> None:
+        """Whether the ends of staged links that were not staged themselves are stored: one anti-join for each table."""
+        wanted: dict[str, set[str]] = {}
+        for op in self.ops:
+            for key in op[4] if op[0] == "link" and len(op) > 4 else ():
+                wanted.setdefault(table_of(key), set()).add(key)
+        for table, keys in wanted.items():
+            asked = self.base.spark.createDataFrame([(k,) for k in sorted(keys)], "key string")
+            stored = self.base.table(table).select("key")
+            if len(keys) <= graph.PRUNE_KEYS:
+                stored = stored.where(F.col("key").isin(sorted(keys)))
+            if lost := asked.join(stored, "key", "left_anti").take(1):
+                raise NotFoundError(f"there is no record {lost[0].key!r}")
 
     def links_at(self, src: str, dst: str) -> set[str]:
         stored = {r.type for r in self.base.links().where((F.col("src") == src) & (F.col("dst") == dst)).select("type").collect()}
@@ -348,6 +395,7 @@ class Database:
     def _apply(self, tx: Transaction) -> None:
         if not tx.ops:
             return
+        tx.check_ends()
         m, seq = tx.base.manifest, tx.base.manifest.seq
         rows: dict[str, list[tuple[int, bool, str, dict]]] = {}
         links: list[tuple] = []
@@ -428,7 +476,7 @@ class Database:
             old = Snapshot(self, m).table(table)
             at = self._place(table)
             old.withColumn(name, F.col(name).cast("double")).write.parquet(at)
-            info.base, info.deltas = at, []
+            info.base, info.deltas, info.normed = at, [], False
         info.kinds[name] = "double"
 
     # One-step forms.
@@ -483,6 +531,15 @@ class Database:
         before = self.snapshot()
         return returned(self, before, self.update(lambda tx: change(tx, text, list(args))))
 
+    def install(self, tables: dict[str, dict[str, Any]], links: str) -> None:
+        """Make folders of written records (sorted by key) and links the tables of an empty database, in one commit."""
+        m = self.manifest()
+        if m.tables:
+            raise InvalidError("the database is not empty")
+        m.tables = {name: TableInfo(**info) for name, info in tables.items()}
+        m.links = TableInfo(base=links)
+        self._commit(m)
+
     def define(self, table: str, fields: list[tuple[str, str]], new: bool) -> None:
         """An empty record table, or more fields of one; each field with the kind it will hold."""
         check_table(table)
@@ -510,15 +567,17 @@ class Database:
         check_fields(dict.fromkeys(c for c in rest if c.lower() != "vec"))
         rows = df.select(F.concat(F.lit(f"{table}:"), ident.cast("string")).alias("key"), *(_stored_column(df, c) for c in rest), *([F.col(vec).cast("array<float>").alias("vec")] if vec else []))
         at = self._place(table)
+        if vec:
+            rows = rows.withColumn(_NORM, vectors.norm(F.col("vec")))
         rows.repartitionByRange("key").sortWithinPartitions("key").write.parquet(at)
-        stored = self.spark.read.parquet(at)
+        stored = self.spark.read.parquet(at).drop(_NORM)
         bad, n, distinct = stored.agg(F.count_if(~valid_key(F.col("key"))), F.count("*"), F.count_distinct("key")).first()
         dims = [r[0] for r in stored.where("vec IS NOT NULL").select(F.size("vec")).distinct().limit(2).collect()] if vec else []
         if bad or n != distinct or len(dims) > 1:
             self.files.delete(at)
             raise InvalidError("keys must be valid and distinct" if len(dims) < 2 else "vectors must have one size")
         fields = [f.name for f in stored.schema if f.name != "key"]
-        m.tables[table] = TableInfo(base=at, fields=fields, kinds={f.name: f.dataType.simpleString() for f in stored.schema if f.name != "key"}, dims=dims[0] if dims else None, adopted=True)
+        m.tables[table] = TableInfo(base=at, fields=fields, kinds={f.name: f.dataType.simpleString() for f in stored.schema if f.name != "key"}, dims=dims[0] if dims else None, adopted=True, normed=bool(vec))
         self._commit(m)
 
     def add_links(self, links: DataFrame) -> None:
@@ -535,29 +594,41 @@ class Database:
         m.links.deltas.append(at)
         self._commit(m)
 
-    def compact(self) -> None:
-        """Live data only: every table and the links rewritten, sorted, without deltas; older versions are removed."""
+    def compact(self, keep: int = 2) -> None:
+        """Live data only: every table and the links rewritten, sorted, without deltas; links a second time in the order of dst. The last ``keep``
+        versions stay readable (this one and the one before), older ones are removed."""
         m, snap = self.manifest(), self.snapshot()
         for name, info in m.tables.items():
             if info.deltas:
                 at = self._place(name)
-                snap.table(name).repartitionByRange("key").sortWithinPartitions("key").write.parquet(at)
+                rows, info.normed = snap.table(name), "vec" in info.fields
+                rows = rows.withColumn(_NORM, vectors.norm(F.col("vec"))) if info.normed else rows
+                rows.repartitionByRange("key").sortWithinPartitions("key").write.parquet(at)
                 info.base, info.deltas = at, []
         if m.links.deltas:
             at = self._place("links")
             snap.links().repartitionByRange("src").sortWithinPartitions("src", "type", "dst").write.parquet(at)
-            m.links = TableInfo(base=at)
+            back = self._place("links")
+            snap.links().repartitionByRange("dst").sortWithinPartitions("dst", "type", "src").write.parquet(back)
+            m.links = TableInfo(base=at, reverse=back)
         self._commit(m)
-        live = {i.base for i in [*m.tables.values(), m.links]}
+        versions = self._versions()
+        kept = [self.manifest(v) for v in versions[-max(1, keep) :]]
+        live = {at for m in kept for i in [*m.tables.values(), m.links] for at in (i.base, i.reverse, *i.deltas)}
         for name in self.files.names(f"{self.root}/data"):
             if f"{self.root}/data/{name}" not in live:
                 self.files.delete(f"{self.root}/data/{name}")
-        for version in self._versions()[:-1]:
+        for version in versions[: -len(kept)]:
             self.files.delete(self._manifest_path(version))
 
     def check(self) -> dict[str, Any]:
-        """Counts, and what disagrees: bad keys, repeated keys, links without ends, bad vectors. Each is one aggregation or anti-join."""
+        """Counts, and what disagrees: commits that are missing or out of order, bad keys, repeated keys, links without ends, bad vectors. Each
+        check of records is one aggregation or anti-join."""
         snap, problems = self.snapshot(), []
+        versions = self._versions()
+        problems += [f"commits: {v} is missing" for a, b in zip(versions, versions[1:]) for v in range(a + 1, b)]
+        seqs = [self.manifest(v).seq for v in versions]
+        problems += [f"commits: {v} goes back in its changes" for v, a, b in zip(versions[1:], seqs, seqs[1:]) if b < a]
         out = {"tables": len(snap.tables()), "records": 0, "links": 0, "vectors": 0}
         for name in snap.tables():
             df, dims = snap.table(name), snap.manifest.tables[name].dims

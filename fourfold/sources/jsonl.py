@@ -112,41 +112,104 @@ def _value(v: Any) -> Any:
     return v
 
 
+_KINDS = {int: "i", float: "r", str: "t", bytes: "b", list: "v"}
+_TYPES = {"i": "bigint", "r": "double", "t": "string", "b": "binary", "v": "array<float>"}
+_LINE = f"shape string, wrong string, head string, tbl string, key string, src string, type string, dst string, fields map<string,struct<k:string,{','.join(f'{k}:{t}' for k, t in _TYPES.items())}>>"
+
+
+def _parsed(batches):
+    """Lines of any place in the file to rows: what shape each has, what is wrong with it, its parts."""
+    import pyarrow as pa
+
+    kinds = pa.map_(pa.string(), pa.struct([("k", pa.string()), ("i", pa.int64()), ("r", pa.float64()), ("t", pa.string()), ("b", pa.binary()), ("v", pa.list_(pa.float32()))]))
+    schema = pa.schema([(n, pa.string()) for n in ("shape", "wrong", "head", "tbl", "key", "src", "type", "dst")] + [("fields", kinds)])
+
+    def one(text: str) -> dict:
+        line = parse_line(text)
+        if "key" in line and set(line) == {"key", "fields"}:
+            fields = check_fields({k: _value(v) for k, v in line["fields"].items()})
+            return {"shape": "record", "tbl": table_of(line["key"]), "key": line["key"], "fields": [(f, {"k": _KINDS[type(v)], _KINDS[type(v)]: v}) for f, v in fields.items() if v is not None]}
+        if {"from", "type", "to"} == set(line):
+            return {"shape": "link", "src": line["from"], "type": check_type(line["type"]), "dst": line["to"]}
+        if "table" in line:
+            return {"shape": "table", "tbl": check_table(line["table"]), "head": text}
+        if line == HEADER or set(line) == {"end"}:
+            return {"shape": "header" if line == HEADER else "end", "head": text}
+        raise InvalidError("a line of an unknown shape")
+
+    for batch in batches:
+        rows = []
+        for text in batch.column(0).to_pylist():
+            try:
+                rows.append(one(text))
+            except (FourfoldError, ValueError, TypeError, AttributeError, OverflowError) as e:
+                rows.append({"shape": "wrong", "wrong": str(e)})
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
 def import_(db, source: str) -> dict[str, int]:
-    """Read an export into an empty database, all or nothing: refuses wrong counts, repeated keys and links without ends.
+    """Read an export into an empty database, all or nothing: refuses wrong counts, repeated keys, records of no table and links without ends.
 
-    Lines are streamed to the driver partition by partition and staged as one transaction: for bulk loads use ``adopt`` and ``add_links``.
+    Lines are parsed where they are read and kept; checks are aggregations and anti-joins, and each table is written by its own tasks. The driver
+    sees the heads of the tables, the counts and the kinds of the fields.
     """
     if db.snapshot().tables():
         raise InvalidError("import goes into an empty database")
-    want, counts, table = None, {"tables": 0, "records": 0, "links": 0}, None
-    with db.begin() as tx:
-        seen: set[str] = set()
-        for n, row in enumerate(db.spark.read.text(source).toLocalIterator()):
-            line = parse_line(row.value)
-            if n == 0:
-                if line != HEADER:
-                    raise InvalidError("not an export of this version")
-            elif want is not None:
-                raise InvalidError("lines after the end")
-            elif "end" in line:
-                want = line["end"]
-            elif "table" in line:
-                table = check_table(line["table"])
-                counts["tables"] += 1
-            elif "key" in line:
-                if table_of(line["key"]) != table or line["key"] in seen:
-                    raise InvalidError(f"key {line['key']!r} is out of place or repeated")
-                seen.add(line["key"])
-                tx.ops.append(("put", line["key"], check_fields({k: _value(v) for k, v in line["fields"].items()})))
-                counts["records"] += 1
-            elif {"from", "type", "to"} == set(line):
-                if line["from"] not in seen or line["to"] not in seen:
-                    raise InvalidError("a link's end is not there")
-                tx.ops.append(("link", line["from"], check_type(line["type"]), line["to"]))
-                counts["links"] += 1
-            else:
-                raise InvalidError("a line of an unknown shape")
-        if want != counts:
-            raise FourfoldError(f"the export's counts {want} are not those read, {counts}")
+    spark = db.spark
+    place = db._place("import")
+    made = [place]
+    try:
+        spark.read.text(source).mapInArrow(_parsed, _LINE).write.parquet(place)
+        lines = spark.read.parquet(place)
+        if bad := lines.where("shape = 'wrong'").select("wrong").take(1):
+            raise InvalidError(bad[0].wrong)
+        heads = lines.where("shape IN ('header', 'table', 'end')").select("shape", "tbl", "head").collect()
+        tables = {r.tbl: json.loads(r.head) for r in heads if r.shape == "table"}
+        ends = [json.loads(r.head)["end"] for r in heads if r.shape == "end"]
+        if sum(r.shape == "header" for r in heads) != 1 or len(ends) != 1 or len(tables) != sum(r.shape == "table" for r in heads):
+            raise InvalidError("not an export of this version")
+        records, links = lines.where("shape = 'record'"), lines.where("shape = 'link'").select("src", "type", "dst")
+        n, distinct = records.agg(F.count("*"), F.count_distinct("key")).first()
+        counts = {"tables": len(tables), "records": n, "links": links.distinct().count()}
+        if counts != ends[0]:
+            raise FourfoldError(f"the export's counts {ends[0]} are not those read, {counts}")
+        if n != distinct:
+            raise InvalidError("a key is repeated")
+        keys = records.select("key")
+        if links.select(F.col("src").alias("key")).unionAll(links.select("dst")).join(keys, "key", "left_anti").take(1):
+            raise InvalidError("a link's end is not there")
+        found: dict[str, dict[str, set[str]]] = {}
+        for r in records.select("tbl", F.explode("fields").alias("f", "v")).select("tbl", "f", "v.k").distinct().collect():
+            found.setdefault(r.tbl, {}).setdefault(r.f, set()).add(r.k)
+        if lost := {r.tbl for r in records.select("tbl").distinct().collect()} - set(tables):
+            raise InvalidError(f"records of {sorted(lost)[0]!r}, which is no table here")
+        kinds: dict[str, dict[str, str]] = {}
+        for name, head in tables.items():
+            fields = list(dict.fromkeys([*head.get("fields", []), *sorted(found.get(name, {}))]))
+            check_fields(dict.fromkeys(f for f in fields if f.lower() != "vec"))
+            kinds[name] = {}
+            for f in fields:
+                some = found.get(name, {}).get(f, {"t"})
+                if len(some) > 1 and some != {"i", "r"}:
+                    raise InvalidError(f"field {f!r} of {name!r} holds several kinds")
+                kinds[name][f] = "r" if len(some) > 1 else next(iter(some))
+        for name, of in kinds.items():
+            cell = lambda f, k: F.coalesce(F.col("fields")[f]["r"], F.col("fields")[f]["i"].cast("double")) if k == "r" else F.col("fields")[f][k]
+            rows = records.where(F.col("tbl") == name).select("key", *(cell(f, k).cast(_TYPES[k]).alias(f) for f, k in of.items()))
+            dims = [r[0] for r in rows.where("vec IS NOT NULL").select(F.size("vec")).distinct().take(2)] if "vec" in of else []
+            if len(dims) > 1 or dims and tables[name].get("dims") not in (None, dims[0]):
+                raise InvalidError("vectors must have one size")
+            at = db._place(name)
+            made.append(at)
+            rows.repartitionByRange("key").sortWithinPartitions("key").write.parquet(at)
+            kinds[name] = {"base": at, "fields": list(of), "kinds": {f: _TYPES[k] for f, k in of.items()}, "dims": dims[0] if dims else tables[name].get("dims")}
+        at = db._place("links")
+        made.append(at)
+        links.distinct().repartitionByRange("src").sortWithinPartitions("src", "type", "dst").write.parquet(at)
+        db.install(kinds, at)
+    except BaseException:
+        for at in made:
+            db.files.delete(at)
+        raise
+    db.files.delete(place)
     return counts

@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from fourfold.errors import InvalidError, NotFoundError, QueryError
+from fourfold.errors import FourfoldError, InvalidError, NotFoundError, QueryError
 from fourfold.sources.database import Database
 
 TOOLS = {
@@ -142,3 +142,52 @@ def test_adopt_export_import(spark, tmp_path, db):
     export(copy.snapshot(), f"file://{tmp_path}/again")
     read = lambda at: [r.value for r in spark.read.text(f"file://{tmp_path}/{at}").collect()]
     assert sorted(read("dump")) == sorted(read("again"))
+
+
+def test_import_refuses_what_is_wrong(spark, tmp_path):
+    from fourfold.sources.jsonl import import_
+
+    head, end = '{"fourfold":"export","version":1}', '{"end":{"tables":1,"records":2,"links":1}}'
+    body = ['{"table":"a","dims":2,"fields":["y","x"]}', '{"key":"a:1","fields":{"x":1,"vec":[1,0]}}', '{"key":"a:2","fields":{"x":2.5,"y":"t"}}', '{"from":"a:1","type":"to","to":"a:2"}']
+
+    def load(name, *lines):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        db = Database(spark, f"file://{tmp_path}/db-{name}")
+        return db, lambda: import_(db, f"file://{tmp_path}/{name}")
+
+    db, run = load("good", head, *body, end)
+    assert run() == {"tables": 1, "records": 2, "links": 1} and db.get("a:1") == {"x": 1.0, "vec": [1.0, 0.0]} and db.get("a:2") == {"x": 2.5, "y": "t"}
+    assert db.snapshot().table("a").columns == ["key", "y", "x", "vec"] and db.neighbours("a:1") == [("a:1", "to", "a:2")] and db.check()["problems"] == []
+    wrong = {
+        "count": [head, *body[:2], *body[3:], end], "twice": [head, *body[:2], body[1], body[3], end], "end": [head, *body], "header": [*body, end], "link": [head, *body[:3], body[3].replace("a:2", "a:9"), end], "member": [head, body[0], '{"key":"a:1","fields":{"x":1,"x":2}}', *body[2:], end],
+        "bool": [head, body[0], '{"key":"a:1","fields":{"x":true}}', *body[2:], end], "kinds": [head, body[0], '{"key":"a:1","fields":{"x":"t"}}', *body[2:], end], "table": [head, '{"table":"b","fields":[]}', *body[1:], end], "json": [head, "{", *body, end], "dims": [head, body[0].replace("2", "3"), *body[1:], end],
+    }
+    for name, lines in wrong.items():
+        db, run = load(name, *lines)
+        with pytest.raises(Exception) as e:
+            run()
+        assert isinstance(e.value, FourfoldError) and db.snapshot().tables() == [] and db.files.names(f"{db.root}/data") == [], name
+
+
+def test_staging_is_linear_and_link_ends_are_checked_at_the_commit(spark, tmp_path):
+    import time
+
+    db = Database(spark, f"file://{tmp_path}/db")
+    with db.begin() as tx:
+        began = time.perf_counter()
+        for i in range(20_000):
+            tx.put(f"a:{i}", {"x": i})
+            tx.link(f"a:{i}", "to", f"a:{i // 2}")
+        assert time.perf_counter() - began < 10
+    assert db.snapshot().links().count() == 20_000
+    with pytest.raises(NotFoundError):
+        db.update(lambda tx: [tx.put("a:new", {}), tx.link("a:new", "to", "a:77"), tx.link("a:5", "to", "a:none")])
+    assert db.snapshot().table("a").count() == 20_000
+    pinned = db.snapshot()
+    db.put("a:x", {"x": 0})
+    old = db.snapshot()
+    db.compact()
+    assert old.table("a").count() == 20_001 and db.walk("a:3", 2, None, "in")[:2] == [("a:6", 1), ("a:7", 1)]
+    assert [r.key for r in db.snapshot().walked("a:0", 1, None, "both").collect()] == ["a:1"] and db.snapshot().manifest.links.reverse
+    db.compact()
+    assert pinned.manifest.version not in db._versions() and db.check()["problems"] == []
