@@ -36,6 +36,44 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def joined(a: Column, b: Column, skip: int, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` over a[i] and b[i + skip] where both are there."""
+    n = F.greatest(F.least(F.size(a), F.size(b) - skip), F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1 + skip), n), body)
+
+
+def spread(first: Column, size: int, body: Callable[[Column, Column], Column], then: Callable[[Column], Column]) -> Column:
+    """``then`` over the combination of ``size`` consecutive elements from each place on, by doubling; every step is worked out once."""
+
+    def grow(width: int, wide: Column, done: int, out: Column | None) -> Column:
+        if size & width:
+            if out is None:
+                return grow(width << 1, wide, width, wide) if size > width else then(wide)
+            one = joined(out, wide, done, body)
+            return let(one, lambda x: grow2(width, wide, done + width, x) if done + width < size else then(x))
+        return grow2(width, wide, done, out)
+
+    def grow2(width: int, wide: Column, done: int, out: Column | None) -> Column:
+        return let(joined(wide, wide, width, body), lambda x: grow(width << 1, x, done, out))
+
+    def start(wide: Column) -> Column:
+        if size == 1:
+            return then(wide)
+        return grow2(1, wide, 1, wide) if size & 1 else grow2(1, wide, 0, None)
+
+    return let(first, start)
+
+
+def mixed(a: Column, b: Column) -> Column:
+    """One hash of two."""
+    return F.xxhash64(a, b)
+
+
+def lesser(a: Column, b: Column) -> Column:
+    """The smaller of two."""
+    return F.least(a, b)
+
+
 def alnum_words(text: Column) -> Column:
     """Lower-cased (A-Z only) runs of digits, a-z and non-ASCII characters; none for null."""
     return F.array_remove(F.split(F.coalesce(F.translate(text, UPPER, LOWER), F.lit("")), NOT_ALNUM), "")

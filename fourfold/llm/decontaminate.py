@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, alnum_words, cut, let
+from .common import ALNUM_WORD, alnum_words, cut, lesser, let, mixed, spread
 
 #: Words of a window, and of a k-gram; SPAN - GRAM + 1 hashes are winnowed together.
 SPAN, GRAM = 8, 4
@@ -31,47 +31,11 @@ _POS = (1 << 31) - 1
 _MARKS = "array<struct<gram:int,hash:bigint,pos:int>>"
 
 
-def _joined(a: Column, b: Column, skip: int, body: Callable[[Column, Column], Column]) -> Column:
-    """``body`` over a[i] and b[i + skip] where both are there."""
-    n = F.greatest(F.least(F.size(a), F.size(b) - skip), F.lit(0))
-    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1 + skip), n), body)
-
-
-def _spread(first: Column, size: int, body: Callable[[Column, Column], Column], then: Callable[[Column], Column]) -> Column:
-    """``then`` over the combination of ``size`` consecutive elements from each place on, by doubling; every step is worked out once."""
-
-    def grow(width: int, wide: Column, done: int, out: Column | None) -> Column:
-        if size & width:
-            if out is None:
-                return grow(width << 1, wide, width, wide) if size > width else then(wide)
-            joined = _joined(out, wide, done, body)
-            return let(joined, lambda x: grow2(width, wide, done + width, x) if done + width < size else then(x))
-        return grow2(width, wide, done, out)
-
-    def grow2(width: int, wide: Column, done: int, out: Column | None) -> Column:
-        return let(_joined(wide, wide, width, body), lambda x: grow(width << 1, x, done, out))
-
-    def start(wide: Column) -> Column:
-        if size == 1:
-            return then(wide)
-        return grow2(1, wide, 1, wide) if size & 1 else grow2(1, wide, 0, None)
-
-    return let(first, start)
-
-
-def _mixed(a: Column, b: Column) -> Column:
-    return F.xxhash64(a, b)
-
-
-def _lesser(a: Column, b: Column) -> Column:
-    return F.least(a, b)
-
-
 def _kept(words: Column, gram: int, window: int, then: Callable[[Column], Column]) -> Column:
     """``then`` over an array of longs: hash in the high 33 bits, 1-based position in the low 31, of each kept gram. Words are hashed once."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     placed = lambda g: F.transform(g, lambda x, i: x.bitwiseAND(F.lit(~_POS)).bitwiseOR((i + 1).cast("long")))
-    return _spread(hashes, gram, _mixed, lambda g: _spread(placed(g), window, _lesser, lambda m: then(F.array_distinct(m) if window > 1 else m)))
+    return spread(hashes, gram, mixed, lambda g: spread(placed(g), window, lesser, lambda m: then(F.array_distinct(m) if window > 1 else m)))
 
 
 def _marks(words: Column, gram: int, window: int, applies: Column | None = None) -> Column:

@@ -1,21 +1,23 @@
 """License scans by MinHash bands over overlapping windows, in DataFrame operations alone.
 
-Texts and templates become lower-cased words and five-word shingles. Overlapping windows of shingles are reduced to band values and looked up
-among the bands of the templates' windows; a hit fixes how template and text align. Then the shingles of the text around that place
-are compared with the template's, word for word, and a template of which at least ``threshold`` is contained is a match.
-
-Bands. A band is the shingle whose hash is least after XOR with the band's constant, so one hash gives all permutations, and
-two windows agree in a band with a probability that is their Jaccard similarity J. Templates of ``LONG`` shingles and more are
-looked up by windows of 12 shingles, 6 apart, against windows of the template at every place: an unaltered passage always holds a window that is
-equal to one of the template (collision certain), and where a fifth of the shingles is lost the best of its windows has J >= 2/3, found
-by 4 bands of one row with probability 1 - (1/3)^4 = 0.988, by two such windows with 0.9998. Shorter templates are looked up by windows
-of a single shingle, where a shared shingle is a certain collision.
-
-Scale: documents are read twice and not shuffled; only hits and one narrow row per document are. The template table is a parameter and is broadcast
+Texts and templates become lower-cased words and five-word shingles. Every window of consecutive shingles is reduced to band values, the least
+of its shingles' hashes in each band's order, which are looked up among those of the templates' windows; a hit fixes how template and text
+align. Then the shingles of the text around that place are compared with the template's, word for word, and a template of which at
+least ``threshold`` is contained is a match.
+
+Bands. A band's order is that of the hashes after XOR with the band's constant, so one hash gives all permutations, and
+two windows agree in a band with a probability that is their Jaccard similarity. ``WINDOWS`` gives the window by the template's length. A word that is
+changed, added or lost takes four shingles in a row or more, so a fifth of n shingles is lost in 0.05 n runs at most, and some run of what is left has
+0.8 n / (0.05 n + 1) shingles: at 24 shingles and more that is a whole window of 10, at 6 to 23 a whole window of 3, and equal windows
+collide in every band. Templates of fewer shingles have windows of one. Where losses are scattered otherwise, the bands of the best windows decide: with
+two a window of J = 2/3 is found with probability 1 - (1/3)^2 = 0.89, and a template has many.
+
+Scale: documents are read twice and not shuffled; only hits and one narrow row per document are. Words are hashed once; hashes of shingles and least
+hashes of windows come by doubling. The template table is a parameter and is broadcast
 when its measured size allows; so are the documents with hits, by count.
 
-Defined results: null texts have no words; templates shorter than five words are refused; repeated rows each get their row; columns besides
-id and text are not read.
+Defined results: null texts have no words; templates shorter than five words are refused; of places with equal containment the first is told; repeated
+rows each get their row; columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,30 +25,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, cut, let
+from .common import ALNUM_WORD, alnum_words, cut, lesser, let, mixed, spread
 
-SHINGLE, THRESHOLD, LONG = 5, 0.8, 24
-WINDOW, STRIDE, BANDS = 12, 6, 4
+SHINGLE, THRESHOLD = 5, 0.8
+#: Shingles of a template from which on its windows have so many shingles, and their bands.
+WINDOWS = ((24, 10, 2), (6, 3, 1), (1, 1, 1))
 BROADCAST_ROWS = 200_000
 
 # Wording of common license notices.
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD_TWO = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_FREE = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 TEMPLATES = (
+    ("AGPL-3.0", _FREE.format("program", "Affero ", "3")),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
+    ("Apache-2.0", "See the License for the specific language governing permissions and limitations under the License."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD", _BSD_END),
+    ("BSD-2-Clause", f"Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {_BSD_TWO} {_BSD_END}"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", _FREE.format("program", "", "3")),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", _FREE.format("library", "Lesser ", "3")),
     ("MIT", "Released under the MIT License."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'),
+    ("MIT", f"The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
 )
 #: Constants whose leading bits differ, so that the bands order hashes differently.
 _FLIPS = [((i * 0x9E3779B97F4A7C15) ^ (i << 61)) & (1 << 64) - 1 for i in range(16)]
-_HITS = "array<struct<kind:int,hash:bigint,pos:int>>"
+_HITS = "array<struct<band:int,hash:bigint,pos:int>>"
+#: Places take the low bits of a mark.
+_POS = (1 << 31) - 1
 
 
 def _signed(x: int) -> int:
@@ -58,29 +81,18 @@ def _grams(words: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1)), lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
 
 
-def _hashes(words: Column) -> Column:
-    """The hash of each shingle; none for fewer than five words."""
-    return F.when(F.size(words) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))).otherwise(F.array().cast("array<long>"))
+def _marks(words: Column, windows: list[tuple[int, int, int]]) -> Column:
+    """The least shingles of all windows of a text, (band, hash, 1-based place), for windows (number of the first band, shingles, bands)."""
 
+    def band(h: Column, nth: int, size: int) -> Column:
+        placed = F.transform(h, lambda x, i: x.bitwiseXOR(F.lit(_signed(_FLIPS[nth]))).bitwiseAND(F.lit(~_POS)).bitwiseOR((i + 1).cast("long")))
+        mark = lambda v: F.struct(F.lit(nth).alias("band"), F.shiftright(v, 31).alias("hash"), v.bitwiseAND(F.lit(_POS)).cast("int").alias("pos"))
+        made = spread(placed, size, lesser, lambda m: F.transform(F.array_distinct(m) if size > 1 else m, mark))
+        return F.when(F.size(h) >= size, made.cast(_HITS)).otherwise(F.array().cast(_HITS))
 
-def _singles(h: Column) -> Column:
-    """Windows of one shingle: (0, hash, 1-based place)."""
-    return F.transform(h, lambda x, i: F.struct(F.lit(0), x, i + 1)).cast(_HITS)
-
-
-def _windows(h: Column, stride: int) -> Column:
-    """The distinct band shingles of windows of WINDOW shingles: (1, hash, 1-based place of the window)."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(h) - (WINDOW - 1)), F.lit(stride))
-    flips = [F.lit(_signed(c)).cast("long") for c in _FLIPS[:BANDS]]
-
-    def least(w: Column, flip: Column) -> Column:
-        return F.array_min(F.transform(w, lambda x: x.bitwiseXOR(flip))).bitwiseXOR(flip)
-
-    def bands(s: Column) -> Column:
-        return let(F.slice(h, s, WINDOW), lambda w: F.array_distinct(F.array(*(least(w, f) for f in flips))))
-
-    rows = F.flatten(F.transform(starts, lambda s: F.transform(bands(s), lambda x: F.struct(F.lit(1), x, s)))).cast(_HITS)
-    return F.when(F.size(h) >= WINDOW, rows).otherwise(F.array().cast(_HITS))
+    every = lambda h: F.concat(*(band(h, first + b, size) for first, size, bands in windows for b in range(bands)))
+    made = spread(F.transform(words, lambda w: F.xxhash64(w)), SHINGLE, mixed, every)
+    return F.when(F.size(words) >= SHINGLE, made).otherwise(F.array().cast(_HITS))
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -98,13 +110,16 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, *, doc_id: str = "
     templates = template_table(spark) if templates is None else templates
     base = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
 
-    index = templates.select("tid", F.size("words").alias("length"), F.explode(let(F.col("words"), lambda w: let(_hashes(w), lambda h: F.when(F.size(h) < LONG, _singles(h)).otherwise(_windows(h, 1))))).alias("p"))
-    index = cut(index.select("tid", "length", "p.kind", "p.hash", F.col("p.pos").alias("at")))
+    sizes = [r[0] for r in templates.select(F.greatest(F.lit(1), *(F.when(F.size("words") - SHINGLE + 1 >= least, size) for least, size, _ in WINDOWS)).alias("w")).distinct().collect()]  # at most one of each
+    bands = [sum(b for _, _, b in WINDOWS[:i]) for i in range(len(WINDOWS))]
+    used = [(first, least, size, n) for first, (least, size, n) in zip(bands, WINDOWS) if size in sizes]
+    marks = F.array().cast(_HITS)
+    for first, least, size, n in reversed(used):
+        marks = F.when(F.size("words") - SHINGLE + 1 >= least, _marks(F.col("words"), [(first, size, n)])).otherwise(marks)
+    index = cut(templates.select("tid", F.explode(marks).alias("p")).select("tid", "p.band", "p.hash", F.col("p.pos").alias("at")))
     index = F.broadcast(index) if index.count() <= BROADCAST_ROWS else index
-    kinds = [r[0] for r in index.select("kind").distinct().collect()]  # at most two numbers
-    makers = {0: _singles, 1: lambda h: _windows(h, STRIDE)}
-    probes = base.select("doc", "text_hash", F.explode(let(alnum_words(F.col("text")), lambda w: let(_hashes(w), lambda h: F.concat(*(makers[k](h) for k in kinds)) if kinds else F.array().cast(_HITS)))).alias("p"))
-    hits = probes.select("doc", "text_hash", "p.kind", "p.hash", "p.pos").join(index, ["kind", "hash"])
+    probes = base.where("text IS NOT NULL").select("doc", "text_hash", F.explode(let(alnum_words(F.col("text")), lambda w: _marks(w, [(first, size, n) for first, _, size, n in used]) if used else F.array().cast(_HITS))).alias("p"))
+    hits = probes.select("doc", "text_hash", "p.band", "p.hash", "p.pos").join(index, ["band", "hash"])
     found = cut(hits.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("tid", (F.col("pos") - F.col("at")).alias("shift"))).alias("places")))
 
     known = templates.select("tid", "license", let(F.col("words"), _grams).alias("shingles"))
@@ -120,6 +135,6 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, *, doc_id: str = "
     best = best.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(F.struct("license", "tid", F.col("x.containment").alias("containment"), (-F.col("x.start")).alias("start")))).alias("matches"))
     best = cut(best)
     best = F.broadcast(best) if best.count() <= BROADCAST_ROWS else best
-    rows = base.select("doc", "text_hash", F.size(alnum_words(F.col("text"))).cast("long").alias("n_words"))
+    rows = base.select("doc", "text_hash", F.coalesce(F.regexp_count("text", F.lit(ALNUM_WORD)), F.lit(0)).cast("long").alias("n_words"))
     joined = rows.join(best.withColumnRenamed("doc", "doc_").withColumnRenamed("text_hash", "hash_"), F.col("doc").eqNullSafe(F.col("doc_")) & F.col("text_hash").eqNullSafe(F.col("hash_")), "left")
     return joined.select("doc", "n_words", F.coalesce("matches", F.array().cast(best.schema["matches"].dataType)).alias("matches"))

@@ -182,6 +182,27 @@ def test_licenses_match_brute_force(spark):
     assert scan(df.limit(0)).count() == 0
 
 
+def test_altered_notices_are_found(spark):
+    """Recall against exact containment over notices with words changed, lost and added: all of those that keep four fifths of their shingles."""
+    rng = np.random.default_rng(11)
+    docs = []
+    for i in range(1500):
+        w = alnum(TEMPLATES[i % len(TEMPLATES)][1])
+        for _ in range(int(rng.integers(0, 1 + len(w) // 20))):
+            at, how = int(rng.integers(len(w))), rng.integers(3)
+            w[at : at + (how != 2)] = [] if how == 1 else [f"zz{i}"]
+        docs.append((i, " ".join(["before"] * (i % 9) + w + ["after"] * (i % 7))))
+    want = {i for i, t in docs if contained(alnum(t), TEMPLATES[i % len(TEMPLATES)][1]) >= 0.8}
+    got = {r.doc for r in scan(spark.createDataFrame(docs, "doc_id long, text string")).collect() if any(m.tid == r.doc % len(TEMPLATES) for m in r.matches)}
+    assert len(want) > 1000 and got == want
+
+
+def test_ties_of_place_tell_the_first(spark):
+    notice = TEMPLATES[1][1]
+    got = scan(spark.createDataFrame([(1, f"{notice} and again {notice}")], "doc_id long, text string")).first().matches
+    assert [(m.tid, m.start, m.containment) for m in got] == [(1, 1, 1.0)]
+
+
 # Hashes agree between columns and Python.
 def test_key_hash(spark):
     from fourfold.llm.sharding import key_hash
