@@ -120,13 +120,14 @@ def records_of(pieces: Iterator[bytes]) -> Iterator[bytes]:
 
     for piece in pieces:
         while piece:
-            held += gz.decompress(piece)
-            piece = gz.unused_data
+            held += gz.decompress(piece, _PIECE)  # at most as much at once, however well it was packed
+            piece = gz.unconsumed_tail
             if gz.eof:
-                gz = zlib.decompressobj(31)
+                piece, gz = gz.unused_data, zlib.decompressobj(31)
             yield from whole()
-    held += gz.flush()
-    yield from whole()
+    while more := gz.decompress(gz.unconsumed_tail, _PIECE):
+        held += more
+        yield from whole()
     if held:
         raise ValueError("the archive ends inside a record")
 

@@ -44,3 +44,18 @@ def test_members_stand_alone(spark, tmp_path):
             parsed = parse(one.decompress(blob[offset : offset + length]))
             assert one.eof and not one.unused_data and parsed["WARC-Type"] == kind
     assert read_archives(manifest, f"file://{tmp_path}/b").count() == 30
+
+
+def test_a_stream_packed_very_well_is_inflated_in_pieces():
+    """Payloads near and beyond the size of a piece, a gigabyte's worth of zeros scaled down, several streams one after another."""
+    import zlib
+
+    from fourfold.llm import warc
+
+    record = lambda n, c: b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % n + c * n + b"\r\n\r\n"
+    sizes = [0, 1, warc._PIECE - 40, warc._PIECE, warc._PIECE + 1, 40 << 20, 7]
+    whole = [record(n, b"\0") for n in sizes]
+    pack = lambda x: (lambda z: z.compress(x) + z.flush())(zlib.compressobj(9, zlib.DEFLATED, 31))
+    for stream in (pack(b"".join(whole)), pack(b"".join(whole[:3])) + pack(b"".join(whole[3:]))):
+        pieces = (stream[i : i + 1000] for i in range(0, len(stream), 1000))
+        assert [len(x) for x in warc.records_of(pieces)] == [len(x) for x in whole]
