@@ -14,7 +14,7 @@ like itself (1) and like nothing else (0).
 For the query, documents are put in descending order of id without gathering them: ids are cut into ranges at quantiles, a range is one
 sorted stream, and the first document of each range is also sent to the end of the range before it. Memory holds two documents at
 a time besides the batch. Rows with one id follow each other by MD5 of their texts; null ids come last. The document after the last is
-the first; a lone document follows itself.
+the first; a lone document follows itself. Ids may be whole numbers, text (by code point) or any number.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import bounded_batches, cut, let
 from .kernels import U64, mix64, slices, text_buffer
 
 WINDOW, POPULAR, SCALE = 64, 16, 256
@@ -210,32 +210,45 @@ def chain_kernel(ranks: np.ndarray):
 def _below(edges: list[int], key: Column) -> Column:
     """How many of the sorted edges are below the key, by way of every so-manyth edge."""
     step = max(1, int(len(edges) ** 0.5))
-    all_, some = (F.array(*map(F.lit, x)).cast("array<long>") for x in (edges, edges[step - 1 :: step]))
+    all_, some = (F.array(*map(F.lit, x)).cast("array<double>" if edges and isinstance(edges[0], float) else "array<long>") for x in (edges, edges[step - 1 :: step]))
     coarse = let(F.size(F.filter(some, lambda e: e < key)) * step, lambda at: at + F.size(F.filter(F.slice(all_, at + 1, step), lambda e: e < key)))
     return F.when(key.isNotNull(), coarse)
 
 
+def _descending(key: Column, kind: str) -> tuple[Column, Column]:
+    """Two columns that ascend where the key descends: a number for ranges and what tells keys of one number apart."""
+    if kind in ("string", "binary"):
+        digits = F.hex(key.cast("binary"))
+        back = F.concat(F.translate(digits, "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))  # a text comes before its beginnings
+        return -F.conv(F.rpad(F.substring(digits, 1, 14), 14, "0"), 16, 10).cast("long"), back
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return -key.cast("long"), F.lit("")
+    return -key.cast("double"), F.lit("")
+
+
 def fingerprint_chain(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rows_per_range: int = 4000) -> DataFrame:
     """Each document's digest, the digest of its edited text, and their likeness to each other and to the next document's."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     ranks = rarity(docs)
-    narrow = docs.select((-F.col("doc_id").cast("long")).alias("o"))
+    o, k = _descending(F.col("doc_id"), kind)
+    narrow = docs.select(o.alias("o"))
     n = narrow.count()
     if not n:
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     # Range edges: a bounded list, exact quantiles are not needed. The key is -id so that streams ascend; nulls go last.
     ranges = max(1, min(10_000, n // rows_per_range))
     edges = sorted(set(narrow.select(F.percentile_approx("o", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or [])) if ranges > 1 else []
-    key = -F.col("doc_id").cast("long")
-    part = F.coalesce(_below(edges, key), F.lit(len(edges))) if edges else F.lit(0)
-    placed = docs.withColumn("part", part).withColumn("o", F.coalesce(key, F.lit((1 << 63) - 1))).withColumn("m", F.coalesce(F.md5("text"), F.lit("")))
-    heads = cut(placed.groupBy("part").agg(F.min(F.struct("o", "m")).alias("head")).select("part", "head.o", "head.m"))
+    part = F.coalesce(_below(edges, o), F.lit(len(edges))) if edges else F.lit(0)
+    none = F.col("doc_id").isNull().cast("int")
+    placed = docs.select("doc_id", "text", part.alias("part"), F.struct(none.alias("none"), F.coalesce(o, F.lit(0)).alias("o"), F.coalesce(k, F.lit("")).alias("k"), F.coalesce(F.md5("text"), F.lit("")).alias("m")).alias("at"))
+    heads = cut(placed.groupBy("part").agg(F.min("at").alias("at")))
     present = sorted(r[0] for r in heads.select("part").collect())  # range numbers: at most 10,000
     before = {p: present[i - 1] for i, p in enumerate(present)}  # the first range follows the last
     mapping = docs.sparkSession.createDataFrame(list(before.items()), "part int, earlier int")
     first = F.broadcast(heads.join(F.broadcast(mapping), "part"))
-    copies = placed.join(first, ["part", "o", "m"]).groupBy("earlier").agg(F.any_value(F.struct("doc_id", "text")).alias("x")).select(F.col("earlier").alias("part"), F.lit(True).alias("last"), F.lit((1 << 63) - 1).alias("o"), F.lit("").alias("m"), "x.doc_id", "x.text")
-    stream = placed.select("part", F.lit(False).alias("last"), "o", "m", "doc_id", "text").unionByName(copies)
-    stream = stream.repartition(max(len(present), 1), "part").sortWithinPartitions("part", "last", "o", "m").select("part", "last", "doc_id", "text")
+    copies = placed.join(first, ["part", "at"]).groupBy("earlier").agg(F.any_value(F.struct("doc_id", "text", "at")).alias("x")).select(F.col("earlier").alias("part"), F.lit(True).alias("last"), "x.at", "x.doc_id", "x.text")
+    stream = placed.select("part", F.lit(False).alias("last"), "at", "doc_id", "text").unionByName(copies)
+    stream = stream.repartition(max(len(present), 1), "part").sortWithinPartitions("part", "last", "at").select("part", "last", "doc_id", "text")
     return stream.mapInArrow(chain_kernel(ranks), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
