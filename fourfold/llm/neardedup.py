@@ -13,8 +13,9 @@ Scale: equal texts are one node (MD5), so copies cost a narrow aggregation. A bu
 are compared with one pivot, the member that shares the most buckets with others, which in a family of copies is mostly what they were
 copied from. Only buckets whose members then still lie in different components are looked at again, those outside
 the bucket's commonest component against the rest, so that no link is lost that would join two groups: in buckets of up to
-``SMALL_BUCKET`` members pair by pair, in larger ones through an index of the shingles of a bounded block of members,
-past which blocks are compared with blocks. Texts are read again only for candidates. What is broadcast is counted first.
+``SMALL_BUCKET`` members pair by pair, in larger ones through an index of the shingles of a bounded block of members: the others go, in
+blocks too, to each block of members, so a bucket costs its members once for each block of others, and these once for each block of
+members. Texts are read again only for candidates. What is broadcast is counted first.
 
 Defined results: a null text is alone in its group; equal texts always share one; a text of 1 to 4 words is one shingle; a text without
 words is linked to equal texts only; repeated rows each get a row. The group id is the least doc_id of the group (null only if all are).
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded_batches, cut
 from .components import components
 from .kernels import U64, Words, gram_hashes, mix64, slices, text_buffer, within
 
@@ -37,7 +38,7 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
 #: Rows (of up to 50 bytes) that may be broadcast.
 BROADCAST_ROWS = 400_000
 #: Members up to which a bucket of several components is settled pair by pair; shingles of a block in a larger one.
-SMALL_BUCKET, BLOCK_SHINGLES = 64, 2_000_000
+SMALL_BUCKET, BLOCK_SHINGLES = 64, 250_000
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +168,8 @@ def verifier(size: int, threshold: float):
     return run
 
 
-def cross_links(texts: pa.Array, labels: np.ndarray, minor: np.ndarray, size: int, threshold: float) -> Iterator[tuple[int, int]]:
-    """For each row marked minor, one similar row of every other label that has one: exact, by the shingles' postings."""
+def cross_links(texts: pa.Array, labels: np.ndarray, asks: np.ndarray, size: int, threshold: float) -> Iterator[tuple[int, int]]:
+    """For each row that asks, one similar row of every other label that has one among the rows that do not: exact, by the shingles' postings."""
     data, offsets = text_buffer(texts)
     n, parts = len(labels), []
     for lo, hi in slices(offsets):
@@ -178,11 +179,12 @@ def cross_links(texts: pa.Array, labels: np.ndarray, minor: np.ndarray, size: in
     total = np.bincount(row, count, n)
     begin = np.searchsorted(row, np.arange(n + 1))
     order = np.argsort(hashes, kind="stable")
+    held = ~asks[row[order]]  # the entries of rows that ask are in no posting
     by, new = row[order], np.flatnonzero(np.concatenate([[True], np.diff(hashes[order].view(np.int64)) != 0]))
     which = np.empty(len(row), np.int64)  # the posting list of each entry
     which[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(row))))
-    end, often = np.append(new[1:], len(row)), count[order]
-    for x in np.flatnonzero(minor):
+    end, often = np.append(new[1:], len(row)), np.where(held, count[order], 0)
+    for x in np.flatnonzero(asks):
         lists, mine = which[begin[x] : begin[x + 1]], count[begin[x] : begin[x + 1]]
         sizes = end[lists] - new[lists]
         at = np.repeat(new[lists] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
@@ -193,7 +195,7 @@ def cross_links(texts: pa.Array, labels: np.ndarray, minor: np.ndarray, size: in
 
 
 def cross_kernel(size: int, threshold: float):
-    """Rows (task, node, label, minor, text) sorted by task to similar pairs (a, b) of different labels. A task's rows are held together."""
+    """Rows (task, node, label, asks, text) sorted by task to similar pairs (a, b) of different labels. A task's rows are held together."""
 
     def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -227,6 +229,7 @@ def _counted(df: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document row: doc_id, node (MD5 of its text), group_id, group_node (with group_id, the document that stands for the group)."""
+    bounded_batches(docs.sparkSession)
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(F.col(text))).alias("node"), F.col(text).alias("text"))
     signed = ids.where("node IS NOT NULL").select("node", "text").mapInArrow(signer(size, bands, rows), "node binary, n long, keys array<long>")
     signed = cut(signed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")))
@@ -253,7 +256,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     placed = shared.join(_counted(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = placed.groupBy("key", "label").agg(F.count("*").alias("count"), F.sum("n").alias("n")).groupBy("key")
-    split = split.agg(F.count("*").alias("kinds"), F.max(F.struct("count", "label"))["label"].alias("main"), F.sum("n").alias("all_n")).where("kinds > 1").select("key", "main", "all_n")
+    split = split.agg(F.count("*").alias("kinds"), F.max(F.struct("count", "label", "n")).alias("main"), F.sum("n").alias("all_n")).where("kinds > 1")
+    split = split.select("key", F.col("main.label").alias("main"), "all_n", (F.col("all_n") - F.col("main.n")).alias("minor_n"))
     mixed = cut(placed.join(split, "key").withColumn("minor", F.col("label") != F.col("main")))
     small = mixed.where(F.col("c") <= SMALL_BUCKET)
     minor = small.where("minor").select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
@@ -262,10 +266,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     more = [] if rest.isEmpty() else [verified(rest)]
     large = mixed.where(F.col("c") > SMALL_BUCKET)
     if not large.isEmpty():
-        blocks = F.ceil(F.col("all_n") / BLOCK_SHINGLES).cast("int")
-        block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        tasks = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("key", F.least(j, block), F.greatest(j, block)))
-        rows_ = large.join(texts_of(large.select("node")), "node").select(F.explode(tasks).alias("task"), "node", "label", "minor", "text")
+        of = lambda n: F.ceil(F.col(n) / BLOCK_SHINGLES).cast("int")
+        mine, other = F.pmod(F.xxhash64("node"), of("all_n")), F.pmod(F.xxhash64("node", F.lit(1)), of("minor_n"))
+        listed = F.transform(F.sequence(F.lit(0), of("minor_n") - 1), lambda i: F.struct(F.xxhash64("key", i, mine.cast("int")).alias("task"), F.lit(False).alias("asks")))
+        asking = F.transform(F.sequence(F.lit(0), of("all_n") - 1), lambda j: F.struct(F.xxhash64("key", other.cast("int"), j).alias("task"), F.lit(True).alias("asks")))
+        places = F.when(F.col("minor"), F.concat(listed, asking)).otherwise(listed)
+        rows_ = large.join(texts_of(large.select("node")), "node").select(F.explode(places).alias("p"), "node", "label", "text").select("p.task", "node", "label", "p.asks", "text")
         rows_ = rows_.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task")
         more.append(cut(rows_.mapInArrow(cross_kernel(size, threshold), "a binary, b binary")))
     more = [m for m in more if not m.isEmpty()]
