@@ -206,20 +206,24 @@ def _repeats(t: pa.Table, span: int) -> pa.RecordBatch:
     tree = Subtrees(words, group, span)
     ord_ = t.column(3).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
     size = np.diff(np.append(tree.node, len(tree.order)))
-    first, depth = np.empty(len(tree.order), np.int64), np.empty(len(tree.order), np.int64)
+    first, depth, kind = (np.empty(len(tree.order), np.int64) for _ in range(3))
+    kind[tree.order] = np.repeat(np.arange(len(size)), size)
     first[tree.order] = np.repeat(tree.row[tree.order[tree.node]], size)  # of a node's leaves the one with the least ord comes first
     depth[tree.order] = np.repeat(tree.depth, size)
     row, place = tree.row, tree.place + t.column(5).to_numpy()[tree.row]
     sure = ord_[row] != ord_[first]
     begins = np.flatnonzero(sure & ~np.concatenate([[False], sure[:-1] & (row[1:] == row[:-1])]))
     upto = np.maximum.reduceat(np.append(np.where(sure, place + depth, 0), 0), begins) if len(begins) else begins
+    doc = t.column(4).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
     ask = np.flatnonzero(t.column(2).to_numpy()[row] & ~sure)
-    raw, head = words.data.tobytes(), words.first[row[ask]] + tree.place[ask]
+    ask = ask[np.lexsort((place[ask], ord_[row[ask]], doc[row[ask]], kind[ask]))]  # a window that a document has many times asks once
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(kind[ask]) != 0) | (np.diff(doc[row[ask]]) != 0) | (np.diff(ord_[row[ask]]) != 0)])[: len(ask)])
+    raw, head = words.data.tobytes(), words.first[row[ask[new]]] + tree.place[ask[new]]
     windows = [b" ".join(raw[a:z].split()) for a, z in zip(words.start[head].tolist(), words.end[head + span - 1].tolist())]
-    docs = pa.array(np.concatenate([row[begins], row[ask]]))
-    lo = np.concatenate([place[begins], place[ask]]).astype(np.int32)
-    hi = np.concatenate([upto, place[ask] + span]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array([None] * len(begins) + windows, pa.binary()), *(t.column(i).combine_chunks().take(docs) for i in (3, 4)), pa.array(lo), pa.array(hi)], ["repeat", "ord", "node", "lo", "hi"])
+    docs = pa.array(np.concatenate([row[begins], row[ask[new]]]))
+    spans = np.stack([np.concatenate([place[begins], place[ask]]), np.concatenate([upto, place[ask] + span])], 1).ravel().astype(np.int32)
+    upto_ = 2 * np.concatenate([np.arange(len(begins)), len(begins) + new, [len(begins) + len(ask)]]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array([None] * len(begins) + windows, pa.binary()), *(t.column(i).combine_chunks().take(docs) for i in (3, 4)), pa.ListArray.from_arrays(pa.array(upto_), pa.array(spans))], ["repeat", "ord", "node", "spans"])
 
 
 def _groups(t: pa.Table) -> np.ndarray:
@@ -229,9 +233,9 @@ def _groups(t: pa.Table) -> np.ndarray:
 
 
 def tree_kernel(span: int):
-    """Runs (part, prefix, dealt, ord, node, pos, hot, words) sorted by part, prefix and ord to (repeat, ord, node, lo, hi): words lo to hi - 1 of a document are
-    repeated from an earlier one (repeat is null), or are a window that is the first of a part whose group was dealt to several. Whole
-    groups are worked on together, as many as a batch holds."""
+    """Runs (part, prefix, dealt, ord, node, pos, hot, words) sorted by part, prefix and ord to (repeat, ord, node, spans: from, to, from, to, ...): words of a document
+    that are repeated from an earlier one (repeat is null), or all places of a window that is the first of a part whose group was dealt to
+    several. Whole groups are worked on together, as many as a batch holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -254,11 +258,12 @@ def tree_kernel(span: int):
 
 
 def stretch_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ord, node, list of (lo, hi)) to (ord, node, stretches): first word, end, first word, end, ... of their union."""
+    """(ord, node, list of spans) to (ord, node, stretches): first word, end, first word, end, ... of their union."""
     for batch in batches:
         out = []
         for found in batch.column(2):
-            lo, hi = (x.to_numpy(zero_copy_only=False) for x in found.values.flatten())
+            flat = found.values.flatten().to_numpy(zero_copy_only=False)
+            lo, hi = flat[::2], flat[1::2]
             order = np.argsort(lo, kind="stable")
             lo, hi = lo[order], np.maximum.accumulate(hi[order])
             new = np.flatnonzero(lo[1:] > hi[:-1]) + 1
@@ -330,12 +335,12 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     dealt = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(0).cast("long"))
     leaves = leaves.select(F.xxhash64("prefix", dealt).alias("part"), "prefix", (F.col("parts") > 1).alias("dealt"), "ord", "node", "pos", "hot", "words")
     leaves = leaves.repartition(_partitions(docs), "part").sortWithinPartitions("part", "prefix", F.col("ord").asc_nulls_last())
-    found = cut(leaves.mapInArrow(tree_kernel(span), f"repeat binary, ord {kind}, node binary, lo int, hi int"))
+    found = cut(leaves.mapInArrow(tree_kernel(span), f"repeat binary, ord {kind}, node binary, spans array<int>"))
 
     ask = found.where("repeat IS NOT NULL")
     earliest = ask.groupBy("repeat").agg(*_ids()).where(_SEVERAL).select("repeat", "least")
-    later = ask.join(earliest, "repeat").where(_after("ord", "least")).select("ord", "node", "lo", "hi")
-    starts = found.where("repeat IS NULL").select("ord", "node", "lo", "hi").union(later).groupBy("ord", "node").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+    later = ask.join(earliest, "repeat").where(_after("ord", "least")).select("ord", "node", "spans")
+    starts = found.where("repeat IS NULL").select("ord", "node", "spans").union(later).groupBy("ord", "node").agg(F.collect_list("spans").alias("found"))
     stretches = cut(starts.mapInArrow(stretch_kernel, f"ord {kind}, node binary, stretches array<int>"))
     stretches = _sized(stretches.withColumnsRenamed({"ord": "ord_", "node": "node_"}), 96 + 4 * F.size("stretches"))
     whole = docs.join(stretches, (docs["node"] == stretches["node_"]) & docs["ord"].eqNullSafe(stretches["ord_"]), "left").select("doc_id", "text", "copy", "stretches")
