@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next stage's docs.
 All but the last return the columns of ``documents``. Decisions reach the texts by anti-joins on (id, hash of the text); the lists of
 decisions are counted, and broadcast only while they are small.
+
+Defined results, for every stage: other columns of ``docs`` are carried as they are, whatever their names; an empty table stays empty with its
+columns; whole texts count, however long. Language ID lets a null text, one without letters and one below ``LEAST_SCORE`` go; rows that are repeated stay.
+Near-dedup keeps the row with the least id of a group (the least MD5 where a group has no id), one of rows that are equal in id and text; a null
+text is no group's. Decontamination treats rows with one id and text alike. The mixture takes a row of no words 0 times; of rows with one id and text
+each has its own turns. The shard of a null id is that of the text "null".
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fourfold.llm import decontaminate, langid, mixing, neardedup, sharding
 from fourfold.llm.common import alnum_words, cut, fresh
-from fourfold.sources.files import scratch
+from fourfold.sources.files import Files, scratch
 
 #: Rows of decisions (id and hash) that may be broadcast.
 BROADCAST_ROWS = 400_000
@@ -92,10 +98,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; what lies between them is kept in the shared folder."""
+    """All stages over the documents of ``sf_dir``. What a stage leaves is kept in the shared folder until the next has ended; the last one's stays,
+    since the result is read from it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
+    files, before = Files(spark, at), None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}-{name}")
-        docs = spark.read.parquet(f"{at}/{i}-{name}")
+        here = f"{at}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(here)
+        docs = spark.read.parquet(here)
+        if before:
+            files.delete(before)
+        before = here
     return docs
