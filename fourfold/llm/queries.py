@@ -136,6 +136,23 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "group_id", (F.col("doc_id").eqNullSafe(F.col("group_id"))).alias("representative"))
 
 
+#: Every pair of unlike texts that share a shingle, by exact multiset Jaccard; groups by the least reachable node.
+OP7_SQL = r"""
+WITH RECURSIVE r AS (SELECT row_number() OVER () AS rid, doc_id, text, md5(text) AS node FROM documents),
+t AS (SELECT node, regexp_extract_all(translate(any_value(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM r WHERE node IS NOT NULL GROUP BY node),
+p AS (SELECT node, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT node, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM t WHERE len(w) > 0)),
+m AS (SELECT node, g, count(*) AS c FROM p GROUP BY ALL),
+n AS (SELECT node, sum(c) AS n FROM m GROUP BY node),
+s AS (SELECT a.node AS a, b.node AS b, sum(least(a.c, b.c)) AS sh FROM m a JOIN m b ON a.g = b.g AND a.node < b.node GROUP BY ALL),
+e AS (SELECT a, b FROM s JOIN n x ON x.node = a JOIN n y ON y.node = b WHERE sh >= 0.8 * (x.n + y.n - sh) - 1e-9),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+q AS (SELECT node AS a, node AS b FROM t UNION SELECT q.a, u.b FROM q JOIN u ON u.a = q.b),
+l AS (SELECT a AS node, min(b) AS label FROM q GROUP BY a),
+h AS (SELECT label, min(doc_id) AS head FROM r JOIN l USING (node) GROUP BY label)
+SELECT doc_id, CASE WHEN r.node IS NULL THEN doc_id ELSE head END AS group_id, doc_id IS NOT DISTINCT FROM CASE WHEN r.node IS NULL THEN doc_id ELSE head END AS representative
+FROM r LEFT JOIN l ON l.node = r.node LEFT JOIN h ON h.label = l.label
+"""
+
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _warc.round_trip(spark, _read(spark, sf_dir, "pages"))
@@ -198,4 +215,4 @@ FROM d LEFT JOIN r USING (rid)
 """
 
 QUERIES = {"op1_langid": op1_langid, "op2_decontaminate": op2_decontaminate, "op3_main_text": op3_main_text, "op4_mix": op4_mix, "op5_fingerprint": op5_fingerprint, "op6_shard": op6_shard, "op7_near_dedup": op7_near_dedup, "op8_warc": op8_warc, "op9_remove_repeats": op9_remove_repeats, "op10_licenses": op10_licenses}
-ORACLES = {"op2_decontaminate": OP2_SQL, "op4_mix": OP4_SQL, "op6_shard": OP6_SQL, "op8_warc": OP8_SQL, "op9_remove_repeats": OP9_SQL, "op10_licenses": OP10_SQL}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op4_mix": OP4_SQL, "op6_shard": OP6_SQL, "op7_near_dedup": OP7_SQL, "op8_warc": OP8_SQL, "op9_remove_repeats": OP9_SQL, "op10_licenses": OP10_SQL}
