@@ -21,8 +21,8 @@ _MADE: dict[tuple[str, str], str] = {}
 
 def adopted(spark: SparkSession, sf_dir: str) -> Database:
     at = (spark._jsparkSession.sessionUUID(), sf_dir)
-    if at in _MADE:
-        return Database(spark, _MADE[at])
+    if at in _MADE and (db := Database(spark, _MADE[at])).snapshot().tables():
+        return db
     db = Database(spark, f"{scratch(spark)}/statements-{uuid.uuid4().hex}")
     for name, key in KEYS.items():
         db.adopt(name, table(spark, sf_dir, name), key)
