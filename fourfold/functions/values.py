@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -145,7 +146,7 @@ def real_text_udf():
 
 
 def decimal_round(value: float | None, places: int | None) -> float | None:
-    """Half away from zero at 0 places; otherwise the exact binary value rounded in decimal."""
+    """Half away from zero; at 1 place and more the exact binary value, rounded in decimal."""
     if value is None or places is None:
         return None
     places = max(0, min(30, places))
@@ -153,7 +154,7 @@ def decimal_round(value: float | None, places: int | None) -> float | None:
         return value
     if places == 0:
         return float(math.copysign(math.floor(abs(value) + 0.5), value))
-    return float(f"{value:.{places}f}")
+    return float(Decimal(value).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP, Context(prec=400)))
 
 
 def round_(x: Column, places: Column | None = None) -> Column:
