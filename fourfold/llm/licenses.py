@@ -12,7 +12,7 @@ changed, added or lost takes four shingles in a row or more, so a fifth of n shi
 collide in every band. Templates of fewer shingles have windows of one. Where losses are scattered otherwise, the bands of the best windows decide: with
 two a window of J = 2/3 is found with probability 1 - (1/3)^2 = 0.89, and a template has many.
 
-Scale: documents are read twice and not shuffled; only hits and one narrow row per document are. Words are hashed once; hashes of shingles and least
+Scale: a text without any shingle of the templates (most of them) needs no windows. Documents are read twice and not shuffled; only hits and one narrow row per document are. Words are hashed once; hashes of shingles and least
 hashes of windows come by doubling. The template table is a parameter and is broadcast
 when its measured size allows; so are the documents with hits, by count.
 
@@ -22,6 +22,8 @@ rows each get their row; columns besides id and text are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: Shingles of a template from which on its windows have so many shingles, and their bands.
 WINDOWS = ((24, 10, 2), (6, 3, 1), (1, 1, 1))
 BROADCAST_ROWS = 200_000
+#: Shingles of all templates up to which a text's are first looked up among them; with more, every text goes through its windows.
+KNOWN = 20_000
 
 # Wording of common license notices.
 _AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -81,8 +85,14 @@ def _grams(words: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1)), lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
 
 
-def _marks(words: Column, windows: list[tuple[int, int, int]]) -> Column:
-    """The least shingles of all windows of a text, (band, hash, 1-based place), for windows (number of the first band, shingles, bands)."""
+def _shingles(words: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` over the hashes of the shingles."""
+    return spread(F.transform(words, lambda w: F.xxhash64(w)), SHINGLE, mixed, then)
+
+
+def _marks(words: Column, windows: list[tuple[int, int, int]], known: list[int] | None = None) -> Column:
+    """The least shingles of all windows of a text, (band, hash, 1-based place), for windows (number of the first band, shingles, bands). None if
+    the text has no shingle of the ``known`` ones, those of all templates: no window can collide then."""
 
     def band(h: Column, nth: int, size: int) -> Column:
         placed = F.transform(h, lambda x, i: x.bitwiseXOR(F.lit(_signed(_FLIPS[nth]))).bitwiseAND(F.lit(~_POS)).bitwiseOR((i + 1).cast("long")))
@@ -90,9 +100,11 @@ def _marks(words: Column, windows: list[tuple[int, int, int]]) -> Column:
         made = spread(placed, size, lesser, lambda m: F.transform(F.array_distinct(m) if size > 1 else m, mark))
         return F.when(F.size(h) >= size, made.cast(_HITS)).otherwise(F.array().cast(_HITS))
 
-    every = lambda h: F.concat(*(band(h, first + b, size) for first, size, bands in windows for b in range(bands)))
-    made = spread(F.transform(words, lambda w: F.xxhash64(w)), SHINGLE, mixed, every)
-    return F.when(F.size(words) >= SHINGLE, made).otherwise(F.array().cast(_HITS))
+    def every(h: Column) -> Column:
+        made = F.concat(*(band(h, first + b, size) for first, size, bands in windows for b in range(bands)))
+        return made if known is None else F.when(F.exists(h, lambda x: x.isin(known)), made).otherwise(F.array().cast(_HITS))
+
+    return F.when(F.size(words) >= SHINGLE, _shingles(words, every)).otherwise(F.array().cast(_HITS))
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -118,7 +130,9 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, *, doc_id: str = "
         marks = F.when(F.size("words") - SHINGLE + 1 >= least, _marks(F.col("words"), [(first, size, n)])).otherwise(marks)
     index = cut(templates.select("tid", F.explode(marks).alias("p")).select("tid", "p.band", "p.hash", F.col("p.pos").alias("at")))
     index = F.broadcast(index) if index.count() <= BROADCAST_ROWS else index
-    probes = base.where("text IS NOT NULL").select("doc", "text_hash", F.explode(let(alnum_words(F.col("text")), lambda w: _marks(w, [(first, size, n) for first, _, size, n in used]) if used else F.array().cast(_HITS))).alias("p"))
+    held = templates.select(F.explode(_shingles(F.col("words"), lambda h: h)).alias("h")).distinct().limit(KNOWN + 1).collect()
+    known = sorted(r.h for r in held) if len(held) <= KNOWN else None
+    probes = base.where("text IS NOT NULL").select("doc", "text_hash", F.explode(let(alnum_words(F.col("text")), lambda w: _marks(w, [(first, size, n) for first, _, size, n in used], known) if used else F.array().cast(_HITS))).alias("p"))
     hits = probes.select("doc", "text_hash", "p.band", "p.hash", "p.pos").join(index, ["band", "hash"])
     found = cut(hits.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("tid", (F.col("pos") - F.col("at")).alias("shift"))).alias("places")))
 

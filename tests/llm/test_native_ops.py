@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fourfold.llm import licenses
 from fourfold.llm.decontaminate import decontaminate
 from fourfold.llm.licenses import TEMPLATES, scan
 from fourfold.llm.mixing import mix, source_targets
@@ -164,7 +165,9 @@ def contained(words, template):
     return max((len(set(grams) & set(mine[max(0, s - slack) : max(0, s + len(grams) + slack)])) / len(set(grams)) for s in shifts), default=0.0)
 
 
-def test_licenses_match_brute_force(spark):
+@pytest.mark.parametrize("known", [20_000, 0])  # texts looked up first, or all through their windows
+def test_licenses_match_brute_force(spark, monkeypatch, known):
+    monkeypatch.setattr(licenses, "KNOWN", known)
     rng = np.random.default_rng(3)
     filler = lambda n: [f"v{int(x)}" for x in rng.integers(0, 50, n)]
     docs = []
