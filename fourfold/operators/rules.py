@@ -42,6 +42,11 @@ def valid_key(key: Column) -> Column:
     return F.coalesce(shape & (F.octet_length(key) <= MAX_KEY) & ~key.startswith("hc_") & ~key.startswith("sqlite_"), F.lit(False))
 
 
+def valid_rest(table: str, rest: Column) -> Column:
+    """The same rule over what follows "<table>:" in keys of a table whose name was checked."""
+    return F.coalesce((F.octet_length(rest) > 0) & (F.octet_length(rest) < MAX_KEY - len(table)) & ~F.contains(rest, F.lit("\0")), F.lit(False))
+
+
 def check_fields(fields: Mapping[str, Any]) -> dict[str, Any]:
     """Field names and values made storable; two spellings of one name are refused."""
     seen: set[str] = set()

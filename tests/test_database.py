@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from fourfold.errors import FourfoldError, InvalidError, NotFoundError, QueryError
 from fourfold.sources.database import Database
@@ -191,3 +192,24 @@ def test_staging_is_linear_and_link_ends_are_checked_at_the_commit(spark, tmp_pa
     assert [r.key for r in db.snapshot().walked("a:0", 1, None, "both").collect()] == ["a:1"] and db.snapshot().manifest.links.reverse
     db.compact()
     assert pinned.manifest.version not in db._versions() and db.check()["problems"] == []
+
+
+def _runs(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+
+def test_adopt_checks_keys_while_it_writes(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db")
+    before = _runs(spark)
+    db.adopt("a", spark.createDataFrame([(i, i * 2) for i in range(1_000)], "id long, x int").repartition(7), "id")
+    assert _runs(spark) - before == 1  # one pass over the records, no second one to count keys
+    files = sorted(f"{r.f}" for r in db.snapshot().table("a").select(F.input_file_name().alias("f")).distinct().collect())
+    assert [r.key for f in files for r in spark.read.parquet(f).collect()] == sorted(f"a:{i}" for i in range(1_000))
+    db.adopt("none", spark.createDataFrame([], "id long, x int"), "id")
+    assert db.snapshot().table("none").count() == 0
+    for rows in ([(str(i), 0) for i in range(500)] + [("77", 1)], [("1", 0), (None, 1)], [("", 0)], [("x\0y", 0)], [("k" * 1_023, 0)]):
+        with pytest.raises(InvalidError):
+            db.adopt("b", spark.createDataFrame(rows, "id string, x int"), "id")
+    db.adopt("b", spark.createDataFrame([("k" * 1_022, 0)], "id string, x int"), "id")
+    assert len(db.files.names(f"{db.root}/data")) == 3 and db.check()["problems"] == []
