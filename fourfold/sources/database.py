@@ -594,19 +594,33 @@ class Database:
         self._commit(m)
 
     def add_links(self, links: DataFrame) -> None:
-        """Links in bulk (src, type, dst), distinct; both ends must exist."""
+        """Links in bulk (src, type, dst), distinct; both ends must exist. They are written once and their ends checked as written, against the keys of
+        the tables that they name. The first ones become the base, which is read without a fold; a compaction puts it in order."""
         m, snap = self.manifest(), self.snapshot()
-        rows = links.select("src", "type", "dst").distinct()
-        keys = snap.keys()
-        missing = rows.select(F.col("src").alias("key")).unionAll(rows.select("dst")).join(keys, "key", "left_anti")
-        if not missing.isEmpty():
-            raise NotFoundError("a link's end is not there")
         at = self._place("links")
         m.seq += 1
-        rows.withColumns({_SEQ: F.lit(m.seq).cast("long"), _DEL: F.lit(False)}).write.parquet(at)
-        m.links.deltas.append(at)
+        links.select("src", "type", "dst").distinct().withColumns({_SEQ: F.lit(m.seq).cast("long"), _DEL: F.lit(False)}).write.parquet(at)
+        written = self.spark.read.schema(LINK_SCHEMA).parquet(at)
+        if self._lost_end(snap, written):
+            self.files.delete(at)
+            raise NotFoundError("a link's end is not there")
+        if m.links.base or m.links.deltas:
+            m.links.deltas.append(at)
+        else:
+            m.links.base = at
         self._commit(m)
 
+    def _lost_end(self, snap: Snapshot, links: DataFrame) -> bool:
+        """Whether an end of a link is no stored record. Ends and keys meet in one aggregation, which combines the ends of a hub before its shuffle."""
+        named = [F.substring_index(end, ":", 1) for end in ("src", "dst")]
+        found = [r[0] for r in links.select(F.explode(F.array(*(F.when(t.isin(snap.tables()), t) for t in named)))).distinct().collect()]
+        if None in found:
+            return True
+        both = links.select(F.col("src").alias("key"), F.lit(False).alias("stored")).unionAll(links.select("dst", F.lit(False)))
+        for table in found:
+            both = both.unionAll(snap.table(table).select("key", F.lit(True)))
+        return not both.groupBy("key").agg(F.max("stored").alias("stored")).where("NOT stored").isEmpty()
+
     def compact(self, keep: int = 2) -> None:
         """Live data only: every table and the links rewritten, sorted, without deltas; links a second time in the order of dst. The last ``keep``
         versions stay readable (this one and the one before), older ones are removed."""
@@ -618,7 +632,7 @@ class Database:
                 rows = rows.withColumn(_NORM, vectors.norm(F.col("vec"))) if info.normed else rows
                 rows.repartitionByRange("key").sortWithinPartitions("key").write.parquet(at)
                 info.base, info.deltas = at, []
-        if m.links.deltas:
+        if m.links.deltas or m.links.base and not m.links.reverse:
             at = self._place("links")
             snap.links().repartitionByRange("src").sortWithinPartitions("src", "type", "dst").write.parquet(at)
             back = self._place("links")

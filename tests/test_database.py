@@ -213,3 +213,28 @@ def test_adopt_checks_keys_while_it_writes(spark, tmp_path):
             db.adopt("b", spark.createDataFrame(rows, "id string, x int"), "id")
     db.adopt("b", spark.createDataFrame([("k" * 1_022, 0)], "id string, x int"), "id")
     assert len(db.files.names(f"{db.root}/data")) == 3 and db.check()["problems"] == []
+
+
+def test_first_links_in_bulk_are_read_without_a_fold(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db")
+    for t in ("a", "b", "c"):
+        db.adopt(t, spark.range(50), "id")
+    link = lambda *rows: spark.createDataFrame(rows, "src string, type string, dst string")
+    for wrong in (("a:1", "to", "b:50"), ("none:1", "to", "b:1"), ("a:1", "to", None), (None, "to", "b:1"), ("a:1", "to", "b")):
+        with pytest.raises(NotFoundError):
+            db.add_links(link(("a:1", "to", "b:1"), wrong))
+    assert db.snapshot().links().count() == 0 and len(db.files.names(f"{db.root}/data")) == 3
+    db.add_links(link(("a:1", "to", "b:1"), ("a:1", "to", "b:1"), ("a:2", "to", "b:1"), ("b:1", "to", "a:3")))
+    links = db.snapshot().links()
+    assert links.count() == 3 and "Aggregate" not in links._jdf.queryExecution().toString()
+    db.add_links(link(("a:1", "to", "b:1"), ("c:1", "of", "a:1")))
+    assert db.snapshot().links().count() == 4
+    db.delete("a:2")
+    assert sorted(map(tuple, db.snapshot().links().collect())) == [("a:1", "to", "b:1"), ("b:1", "to", "a:3"), ("c:1", "of", "a:1")]
+    assert db.walk("c:1", 4) == [("a:1", 1), ("b:1", 2), ("a:3", 3)]
+    other = Database(spark, f"file://{tmp_path}/other")
+    other.adopt("a", spark.range(9), "id")
+    other.add_links(link(("a:2", "to", "a:1"), ("a:1", "to", "a:2")))
+    other.compact()
+    assert other.snapshot().manifest.links.reverse and [r.src for r in other.snapshot().links().collect()] == ["a:1", "a:2"]
+    assert other.walk("a:1", 1, None, "in") == [("a:2", 1)] and other.check()["problems"] == []
