@@ -47,12 +47,31 @@ def quote(x: Column, kind: str) -> Column:
 STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD", "%F": "yyyy-MM-dd", "%T": "HH:mm:ss", "%R": "HH:mm", "%%": "'%'"}
 
 
+def strftime_pieces(format_: str) -> list[tuple[str, str]]:
+    """A format as ("text", text), ("date", one date pattern for neighbouring conversions and what stands between them) and ("other", a conversion
+    that no date pattern has): the fewer pieces, the less often the time is computed, in code that the JVM still compiles."""
+    out: list[tuple[str, str]] = []
+    for p in re.findall(r"%.|[^%]+", format_):
+        if p not in STRFTIME:
+            out.append(("other" if p[0] == "%" else "text", p))
+            continue
+        x, before = STRFTIME[p], [k for k, _ in out[-2:]]
+        if before[-1:] == ["date"] and out[-1][1][-1] != x[0]:
+            out[-1] = "date", out[-1][1] + x
+        elif before == ["date", "text"] and "'" not in (out[-2][1][-1], x[0]):
+            text = out.pop()[1].replace("'", "''")
+            out[-1] = "date", f"{out[-1][1]}'{text}'{x}"
+        else:
+            out.append(("date", x))
+    return out
+
+
 def strftime(format_: str, ts: Column) -> Column:
-    parts = re.findall(r"%.|[^%]+", format_)
-    if unknown := [p for p in parts if p[0] == "%" and p not in (*STRFTIME, "%s", "%w")]:
+    parts = strftime_pieces(format_)
+    if unknown := [p for kind, p in parts if kind == "other" and p not in ("%s", "%w")]:
         raise ValueError(f"unknown conversion {unknown[0]}")
     seconds, weekday = F.unix_timestamp(ts).cast("string"), (F.dayofweek(ts) - 1).cast("string")
-    return F.concat(*(seconds if p == "%s" else weekday if p == "%w" else F.date_format(ts, STRFTIME[p]) if p[0] == "%" else F.lit(p) for p in parts))
+    return F.concat(*(F.date_format(ts, p) if kind == "date" else F.lit(p) if kind == "text" else seconds if p == "%s" else weekday for kind, p in parts))
 
 
 def julianday(ts: Column) -> Column:

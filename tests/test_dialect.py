@@ -3,6 +3,7 @@
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from fourfold.errors import InvalidError, QueryError
 from fourfold.sources.database import Database
@@ -211,3 +212,17 @@ def test_tables_are_plain_parquet(spark, tmp_path):
     manifest = json.loads(sorted((tmp_path / "db/manifests").glob("*.json"))[-1].read_text())
     rows = pq.read_table(manifest["tables"]["boat"]["base"].removeprefix("file://")).to_pylist()
     assert {(r["key"], r["name"], r["tons"]) for r in rows} == {b[:3] for b in BOATS} and manifest["tables"]["boat"]["deltas"] == []
+
+
+def test_strftime_formats_neighbours_at_once(spark):
+    import datetime as dt
+
+    from fourfold.functions import extra as X
+
+    formats = ["%Y-%m-%d %H:%M:%S", "%Y/%m %j %w %H:%M", "%Y%Y%m%m", "it's %d o'clock '%H' %%%M%% '' %S%%%%", "%F%F %T%T%R", "%s%d%S", "%%", "x", "%d%%%d", "%Yyyyy[#]{%m}Q%d"]
+    assert [len(X.strftime_pieces(f)) for f in formats[:2]] == [1, 5]
+    moment = dt.datetime(2024, 2, 9, 3, 4, 5, tzinfo=dt.timezone.utc)
+    row = spark.sql("SELECT TIMESTAMP '2024-02-09 03:04:05' AS t, CAST(NULL AS TIMESTAMP) AS n")
+    got = row.select(*(X.strftime(f, F.col("t")) for f in formats), *(X.strftime(f, F.col("n")) for f in formats)).first()
+    assert list(got[: len(formats)]) == [moment.strftime(f.replace("%s", str(int(moment.timestamp())))) for f in formats]
+    assert list(got[len(formats) :]) == [None if "%" in f else f for f in formats]
